@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,19 @@ from tesserae.llm.common import width, written
 from tesserae.llm.hilbert import hilbert_key
 
 BUCKETS, DIMS, BITS = 256, 4, 12
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+
+#: Words of these characters alone need no Unicode normalisation; others take the tokenizer's own full path.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: How the tokenizer splits a plain word, once it is lower case.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^0-9a-zà-öø-ÿß]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level BPE alphabet: printable bytes stand for themselves, others for letters from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)}
 
 
 class _Words(dict):
@@ -29,9 +42,16 @@ class _Words(dict):
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def _ids(self, word: str) -> list[int]:
+        if len(word) > 100 or not _PLAIN.fullmatch(word):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        parts = (x.encode().decode("latin-1").translate(self.letters) for x in _PARTS.findall(word.lower()))
+        return [token.id for x in parts for token in self.model.tokenize(x)]
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        ids = np.array(self._ids(word), self.dtype).tobytes()
         if len(self) >= CACHED_WORDS:
             self.clear()
         if len(word) < 200:
