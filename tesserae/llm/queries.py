@@ -21,7 +21,31 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
 
 
+def op3_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.common import fold
+    from tesserae.llm.langid import identify, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = train(docs, ~held_out & F.col("doc_id").isNotNull())
+    return identify(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
+
+
+def op4_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.common import fold
+    from tesserae.llm.quality import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = train(docs.where(~held_out), labels)
+    out = score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
+    "op3_output_codes": op3_output_codes,
+    "op4_line_field": op4_line_field,
 }
 ORACLES: dict[str, str] = {}
