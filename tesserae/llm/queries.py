@@ -43,9 +43,16 @@ def op4_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op8_stable_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.vector_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
     "op3_output_codes": op3_output_codes,
     "op4_line_field": op4_line_field,
+    "op8_stable_hashing": op8_stable_hashing,
 }
 ORACLES: dict[str, str] = {}
