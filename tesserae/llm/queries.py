@@ -43,6 +43,23 @@ def op4_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op5_character_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.secrets import scan, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, train(docs))
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex", "network")),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "network")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_stable_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.vector_dedup import near_vectors
 
@@ -53,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
     "op3_output_codes": op3_output_codes,
     "op4_line_field": op4_line_field,
+    "op5_character_network": op5_character_network,
     "op8_stable_hashing": op8_stable_hashing,
 }
 ORACLES: dict[str, str] = {}
