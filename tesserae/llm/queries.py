@@ -60,6 +60,12 @@ def op5_character_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_shifted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.vector_search import search
+
+    return search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, 20)
+
+
 def op8_stable_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.vector_dedup import near_vectors
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_output_codes": op3_output_codes,
     "op4_line_field": op4_line_field,
     "op5_character_network": op5_character_network,
+    "op6_shifted_curves": op6_shifted_curves,
     "op8_stable_hashing": op8_stable_hashing,
 }
 ORACLES: dict[str, str] = {}
