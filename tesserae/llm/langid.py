@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from tesserae.llm.common import hash_sample
 
 SIZE = 1 << 13
 UNKNOWN = "und"
@@ -127,20 +128,18 @@ def _sparse(languages: list[str]):
 
 
 def train(docs: DataFrame, usable: Column | bool = True, max_rows: int = 4000, most_languages: int = 256) -> LanguageCodes | None:
-    """Fit on at most ``max_rows`` labelled rows, the same number for each language, chosen by hash of the id.
+    """Fit on about ``max_rows`` labelled rows, as many for each language, chosen by hash of the id.
 
     Rows count as labelled where ``lang`` is not null and ``usable`` holds. Executors turn whole texts into
     sparse features; the driver receives those of the bounded sample. None where nothing is labelled.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.lit(usable))
-    labelled = labelled.withColumn("h", F.xxhash64("doc_id"))
     sizes = dict(labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect())
     if not sizes:
         return None
     each = max(1, max_rows // len(sizes))
-    ranked = labelled.select("lang", "h").withColumn("r", F.row_number().over(W.Window.partitionBy("lang").orderBy("h")))
-    last = ranked.where(F.col("r") <= each).groupBy("lang").agg(F.max("h").alias("last"))  # a row for each language
-    chosen = labelled.join(F.broadcast(last), "lang").where("h <= last").select("lang", "text")
+    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))))
+    chosen = labelled.where(hash_sample("doc_id", share[F.col("lang")])).select("lang", "text")
     languages = sorted(sizes)
     got = chosen.mapInPandas(_sparse(languages), "y int, at binary, value binary").toPandas()
     x = np.zeros((len(got), SIZE), np.float32)

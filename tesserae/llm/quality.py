@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import hash_sample
+
 #: Measures of a line; each falls into one of BINS bins, and so do those of the lines before and after it.
 MEASURES = ["words", "word_length", "distinct", "same_as_next", "upper", "digits", "marks", "odd_words", "pipes", "starts_upper", "stop", "accents"]
 BINS = 8
@@ -184,29 +186,28 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 3) -> LineField:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: int = 20_000) -> LineField | None:
-    """Fit on at most ``max_rows`` labelled documents chosen by hash of the id, half of them bad where possible.
+    """Fit on about ``max_rows`` labelled documents chosen by hash of the id, half of them bad where possible.
 
     The sample leaves out texts over ``max_chars``, which bounds what the driver receives to the product of
     both. Documents come in through ``doc_id``; rows of ``labels`` without a match, nulls and repeats do nothing.
     None where there is no label of one of the two kinds.
     """
-    known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    light = docs.select("doc_id", F.length("text").alias("size")).where(F.col("size") <= max_chars)
-    light = light.join(known, "doc_id").withColumn("h", F.xxhash64("doc_id"))
-    picks = [light.where(F.col("label") == y).orderBy("h", "doc_id").limit(max_rows // 2).select("doc_id", "label") for y in (0, 1)]
-    chosen = picks[0].union(picks[1])  # max_rows rows at most
+    known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    light = docs.select("doc_id").join(known, "doc_id")
+    sizes = dict(light.groupBy("label").count().collect())
+    share = F.create_map(*(F.lit(x) for y in (0, 1) for x in (y, min(1.0, max_rows / 2 / max(sizes.get(y, 0), 1)))))
+    chosen = light.where(hash_sample("doc_id", share[F.col("label").cast("int")])).distinct()  # about max_rows rows
     rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
     got = rows.select("text", "label").toPandas()
     y = got["label"].to_numpy()
     if len(set(y)) < 2:
         return None
-    return _with_prior(fit(list(got["text"]), y), y.mean(), light)
+    return _with_prior(fit(list(got["text"]), y), y.mean(), sizes)
 
 
-def _with_prior(field: LineField, sampled: float, light: DataFrame) -> LineField:
+def _with_prior(field: LineField, sampled: float, sizes: dict[int, int]) -> LineField:
     """Move the level from the sample's share of good documents to that of all labelled ones."""
-    share = light.agg(F.avg(F.col("label").cast("double"))).first()[0]
-    share = min(max(share, 1e-3), 1 - 1e-3)
+    share = min(max(sizes.get(1, 0) / sum(sizes.values()), 1e-3), 1 - 1e-3)
     field.level += float(np.log(share / (1 - share)) - np.log(sampled / (1 - sampled)))
     return field
 

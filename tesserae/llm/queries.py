@@ -66,6 +66,12 @@ def op6_shifted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, 20)
 
 
+def op7_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), share=0.5, power=0.7)
+
+
 def op8_stable_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.vector_dedup import near_vectors
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_field": op4_line_field,
     "op5_character_network": op5_character_network,
     "op6_shifted_curves": op6_shifted_curves,
+    "op7_raked_mix": op7_raked_mix,
     "op8_stable_hashing": op8_stable_hashing,
 }
 ORACLES: dict[str, str] = {}
