@@ -78,6 +78,12 @@ def op8_stable_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op10_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.ngram_join import near_sets
+
+    return near_sets(_table(spark, sf_dir, "documents"), 5, (80, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
     "op3_output_codes": op3_output_codes,
@@ -86,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_shifted_curves": op6_shifted_curves,
     "op7_raked_mix": op7_raked_mix,
     "op8_stable_hashing": op8_stable_hashing,
+    "op10_signature_trees": op10_signature_trees,
 }
 ORACLES: dict[str, str] = {}
