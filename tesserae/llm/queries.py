@@ -78,6 +78,12 @@ def op8_stable_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op9_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.repeats import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), 100).drop("kept")
+
+
 def op10_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.ngram_join import near_sets
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_shifted_curves": op6_shifted_curves,
     "op7_raked_mix": op7_raked_mix,
     "op8_stable_hashing": op8_stable_hashing,
+    "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_signature_trees": op10_signature_trees,
 }
 ORACLES: dict[str, str] = {}
