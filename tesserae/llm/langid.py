@@ -148,28 +148,28 @@ def train(docs: DataFrame, usable: Column | bool = True, max_rows: int = 4000, m
     return _fit(x, got["y"].to_numpy(), languages)
 
 
-def _label(model: LanguageCodes | None, least_lead: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"]
-            has = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in texts], bool)
-            best, score, lead = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch)), np.zeros(len(batch))
-            own = np.flatnonzero(has) if model else np.array([], int)
-            for lo in range(0, len(own), 256):
-                part = own[lo : lo + 256]
-                k, p, gap = model.predict(np.stack([features(texts.iloc[j]) for j in part]))
-                best[part], score[part], lead[part] = np.array(model.languages, object)[k], p, gap
-            yield batch.drop(columns="text").assign(lang_pred=best, score=score, ambiguous=has & (lead < least_lead))
-
-    return run
-
-
-def identify(docs: DataFrame, model: LanguageCodes | None, least_lead: float = 0.2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Add lang_pred, score (0 to 1) and ambiguous to the columns ``keep`` of every row, from its whole text.
+def labeller(model: LanguageCodes | None, least_lead: float = 0.2):
+    """A column function of a text: struct of lang_pred, score (0 to 1) and ambiguous.
 
     Bit classifiers give margins, the loss-weighted decoder picks the nearest codeword; ``ambiguous`` marks a
     lead below ``least_lead``. Null text, empty text or no letters: ``und``, score 0. No model: ``und``.
     """
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInPandas(_label(model, least_lead), f"{kinds}, lang_pred string, score double, ambiguous boolean")
+
+    @F.pandas_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
+    def label(texts: pd.Series) -> pd.DataFrame:
+        has = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in texts], bool)
+        best, score, lead = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
+        own = np.flatnonzero(has) if model else np.array([], int)
+        for lo in range(0, len(own), 256):
+            part = own[lo : lo + 256]
+            k, p, gap = model.predict(np.stack([features(texts.iloc[j]) for j in part]))
+            best[part], score[part], lead[part] = np.array(model.languages, object)[k], p, gap
+        return pd.DataFrame({"lang_pred": best, "score": score, "ambiguous": has & (lead < least_lead)})
+
+    return label.asNondeterministic()  # evaluated once, not again for a filter
+
+
+def identify(docs: DataFrame, model: LanguageCodes | None, least_lead: float = 0.2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Add lang_pred, score and ambiguous (see ``labeller``) to the columns ``keep`` of every row."""
+    own = labeller(model, least_lead)(F.col("text").cast("string")).alias("_own")
+    return docs.select(*keep, own).select(*keep, "_own.lang_pred", "_own.score", "_own.ambiguous")

@@ -88,23 +88,21 @@ def _describe(n: int, common, parts: tuple[int, int]):
     frequency table makes frequent shingles come last.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = common.value
-        for batch in batches:
-            rows = []
-            for s in shingle_sets(iter(batch["text"]), n):
-                size = len(s)
-                if not size:
-                    rows.append((0, 0, None, None, None))
-                    continue
-                order = np.argsort(often[(s >> np.uint64(46)).astype(np.int64)], kind="stable")
-                rare = s[order[: size - least_overlap(size, parts) + 1]]
-                stars = [int(mixed(s * odd).min().astype(np.int64)) for odd in _ODD]
-                rows.append((size, set_key(s), bitmap(s, WIDE).tobytes(), stars, rare.tobytes()))
-            out = pd.DataFrame(rows, columns=["n", "set", "bits", "stars", "rare"])
-            yield pd.concat([batch[["doc_id", "text_hash"]].reset_index(drop=True), out], axis=1)
+    @F.pandas_udf("struct<n: long, `set`: long, bits: binary, stars: array<long>, rare: binary>")
+    def describe(texts: pd.Series) -> pd.DataFrame:
+        often, rows = common.value, []
+        for s in shingle_sets(iter(texts), n):
+            size = len(s)
+            if not size:
+                rows.append((0, 0, None, None, None))
+                continue
+            order = np.argsort(often[(s >> np.uint64(46)).astype(np.int64)], kind="stable")
+            rare = s[order[: size - least_overlap(size, parts) + 1]]
+            stars = [int(mixed(s * odd).min().astype(np.int64)) for odd in _ODD]
+            rows.append((size, set_key(s), bitmap(s, WIDE).tobytes(), stars, rare.tobytes()))
+        return pd.DataFrame(rows, columns=["n", "set", "bits", "stars", "rare"])
 
-    return run
+    return describe.asNondeterministic()  # evaluated once
 
 
 def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,8 +323,8 @@ def near_sets(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (80, 100
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     common = spark.sparkContext.broadcast(frequencies(docs, words))
-    kinds = "doc_id long, text_hash long, n long, `set` long, bits binary, stars array<long>, rare binary"
-    rows = docs.mapInPandas(_describe(words, common, parts), kinds).withColumn("uid", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", "text_hash", _describe(words, common, parts)("text").alias("own"))
+    rows = rows.select("doc_id", "text_hash", "own.*").withColumn("uid", F.monotonically_increasing_id())
     rows = written(rows, "documents")
     lows = rows.where("n > 0").groupBy("set").agg(
         F.min("uid").alias("uid"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("low")

@@ -77,22 +77,20 @@ def _curve_keys(vectors: np.ndarray) -> np.ndarray:
 
 
 def _tokenise(path: str, dtype: str, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<n: long, key: long, ids: binary>")
+    def tokenise(texts: pd.Series) -> pd.DataFrame:
         words, end = _words(path, dtype), np.array([end_id], dtype).tobytes()
-        for batch in batches:
-            ids, counts = [], np.zeros((len(batch), BUCKETS))
-            for k, text in enumerate(batch["text"]):
-                pieces = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-                own = b"".join(map(words.__getitem__, pieces)) + end
-                ids.append(own)
-                spread = np.frombuffer(own, dtype).astype(np.uint32) * np.uint32(2654435761) >> np.uint32(24)
-                counts[k] = np.bincount(spread, minlength=BUCKETS)
-            size = np.dtype(dtype).itemsize
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n": [len(x) // size for x in ids], "key": _curve_keys(counts), "ids": ids}
-            )
+        ids, counts = [], np.zeros((len(texts), BUCKETS))
+        for k, text in enumerate(texts):
+            pieces = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
+            own = b"".join(map(words.__getitem__, pieces)) + end
+            ids.append(own)
+            spread = np.frombuffer(own, dtype).astype(np.uint32) * np.uint32(2654435761) >> np.uint32(24)
+            counts[k] = np.bincount(spread, minlength=BUCKETS)
+        size = np.dtype(dtype).itemsize
+        return pd.DataFrame({"n": [len(x) // size for x in ids], "key": _curve_keys(counts), "ids": ids})
 
-    return run
+    return tokenise.asNondeterministic()  # evaluated once
 
 
 def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,20 +104,21 @@ def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cut(dtype: str, length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, ids, at in zip(batch["doc_id"], batch["ids"], batch["place"], strict=True):
-                own = np.frombuffer(ids, dtype).astype("<u4")
-                edges = [0, *range(length - at % length, len(own), length), len(own)]
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    where = at + lo
-                    rows.append((doc_id, lo, hi - lo, own[lo:hi].tobytes(), len(own), where // length, where % length))
-            names = ["doc_id", "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"doc_id": "Int64"})
-
-    return run
+    @F.pandas_udf("array<struct<start: long, length: long, token_ids: binary, sequence_id: long, offset: long>>")
+    def cut(ids: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for raw, at in zip(ids, places, strict=True):
+            own = np.frombuffer(raw, dtype).astype("<u4")
+            edges = [0, *range(length - at % length, len(own), length), len(own)]
+            out.append(
+                [
+                    {"start": lo, "length": hi - lo, "token_ids": own[lo:hi].tobytes(), "sequence_id": (at + lo) // length, "offset": (at + lo) % length}
+                    for lo, hi in zip(edges, edges[1:], strict=False)
+                ]
+            )
+        return pd.Series(out)
+
+    return cut.asNondeterministic()  # evaluated once
 
 
 def pack(
@@ -143,7 +142,8 @@ def pack(
     spark = docs.sparkSession
     dtype = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = rows.mapInPandas(_tokenise(tokenizer_path, dtype, end_id), "doc_id long, n long, key long, ids binary")
+    own = _tokenise(tokenizer_path, dtype, end_id)("text").alias("_own")
+    tokens = rows.select("doc_id", own).select("doc_id", "_own.n", "_own.key", "_own.ids")
     tokens = written(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
     light = tokens.select("uid", "key", "n").repartitionByRange(width(spark), "key", "uid").sortWithinPartitions("key", "uid")
     places = written(light.mapInPandas(_running, "uid long, part int, at long, n long"), "places")
@@ -154,7 +154,7 @@ def pack(
         before += totals[part]
     bases = spark.createDataFrame(base, "part int, base long")
     placed = places.join(F.broadcast(bases), "part").select("uid", (F.col("base") + F.col("at")).alias("place"))
-    whole = tokens.select("uid", "doc_id", "ids").join(placed.hint("merge"), "uid")
-    kinds = "doc_id long, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long"
-    return whole.select("doc_id", "ids", "place").mapInPandas(_cut(dtype, seq_len), kinds)
-
+    whole = tokens.select("uid", "doc_id", "n", "ids").join(placed.hint("merge"), "uid")
+    pieces = whole.select("doc_id", F.col("n").alias("doc_tokens"), F.explode(_cut(dtype, seq_len)("ids", "place")).alias("_own"))
+    own = ["start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"]
+    return pieces.select("doc_id", *(x if x == "doc_tokens" else f"_own.{x}" for x in own))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -212,24 +211,24 @@ def _with_prior(field: LineField, sampled: float, sizes: dict[int, int]) -> Line
     return field
 
 
-def _score(field: LineField | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = np.full(len(batch), 0.5)
-            texts = [t or "" for t in batch["text"]]
-            for lo in range(0, len(texts) if field else 0, 1024):
-                tables, sizes = zip(*map(line_table, texts[lo : lo + 1024]), strict=True)
-                out[lo : lo + 1024] = field.scores(list(tables), list(sizes))
-            yield batch.drop(columns="text").assign(score=out)
+def scorer(field: LineField | None):
+    """A column function of a text: its score from 0 to 1.
 
-    return run
+    Null and empty texts are one empty line and are scored as such. Without a field every score is 0.5.
+    """
 
+    @F.pandas_udf("double")
+    def own(texts: pd.Series) -> pd.Series:
+        out = np.full(len(texts), 0.5)
+        texts = [t or "" for t in texts]
+        for lo in range(0, len(texts) if field else 0, 1024):
+            tables, sizes = zip(*map(line_table, texts[lo : lo + 1024]), strict=True)
+            out[lo : lo + 1024] = field.scores(list(tables), list(sizes))
+        return pd.Series(out)
 
-def score(docs: DataFrame, field: LineField | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Add ``score`` (0 to 1, higher: better) to the columns ``keep`` of every row, from its whole text.
+    return own.asNondeterministic()  # evaluated once, not again for a filter
 
-    Null and empty texts are one empty line and are scored as such. Without a field every score is 0.5.
-    """
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInPandas(_score(field), f"{kinds}, score double")
+
+def score(docs: DataFrame, field: LineField | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Add ``score`` (0 to 1, higher: better) to the columns ``keep`` of every row, from its whole text."""
+    return docs.select(*keep, scorer(field)(F.col("text").cast("string")).alias("score"))

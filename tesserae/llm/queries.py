@@ -90,6 +90,12 @@ def op10_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_sets(_table(spark, sf_dir, "documents"), 5, (80, 100)).select("doc_id", "n_shingles", "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
     "op3_output_codes": op3_output_codes,
@@ -100,5 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_stable_hashing": op8_stable_hashing,
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_signature_trees": op10_signature_trees,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}

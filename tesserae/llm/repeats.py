@@ -285,24 +285,22 @@ def _suffixes(size: int, most: int = 400_000):
     return _sorted_groups(work)
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text, spans in zip(batch["text"], batch["spans"], strict=True):
-            raw, kept, at, removed, n = text.encode("utf-8", "replace"), [], 0, 0, 0
-            end = -1
-            for lo, hi in sorted((s["lo"], -s["c"]) for s in spans) if spans is not None else ():
-                if lo > end:
-                    n += 1
-                    kept.append(raw[max(at, 0) : lo])
-                removed += max(0, hi - max(lo, end))
-                end = max(end, hi)
-                at = end
-            kept.append(raw[at:])
-            rest = b"".join(kept)
-            rows.append((len(raw), removed, n, hashlib.sha256(rest).hexdigest(), rest))
-        out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], index=batch.index)
-        yield pd.concat([batch[["doc_id"]], out], axis=1)
+def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    """What is left of each text."""
+    rows = []
+    for text, own in zip(texts, spans, strict=True):
+        raw, kept, end, removed, n = text.encode("utf-8", "replace"), [], 0, 0, 0
+        last = -1
+        for lo, hi in sorted((s["lo"], -s["c"]) for s in own) if own is not None else ():
+            if lo > last:
+                n += 1
+                kept.append(raw[end:lo])
+            removed += max(0, hi - max(lo, last))
+            end = last = max(last, hi)
+        kept.append(raw[end:])
+        rest = b"".join(kept)
+        rows.append((len(raw), removed, n, hashlib.sha256(rest).hexdigest(), rest))
+    return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,5 +337,6 @@ def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", tex
     spans = entries.where("c < 0").select("d", "th", "lo", "c").union(found)
     spans = spans.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "c")).alias("spans"))  # of one document
     whole = docs.join(spans, ["d", "th"], "left").select("doc_id", "text", "spans")
-    return whole.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
+    kinds = "struct<n_bytes: long, n_removed: long, n_spans: long, kept_sha256: string, kept: binary>"
+    cut = F.pandas_udf(_cut, kinds).asNondeterministic()  # evaluated once
+    return whole.select("doc_id", cut("text", "spans").alias("own")).select("doc_id", "own.*")
