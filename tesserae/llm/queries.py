@@ -21,6 +21,13 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
 
 
+def op2_claimed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.sharding import place
+
+    shards = [f"shard-{k:03d}" for k in range(64)]
+    return place(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], shards)
+
+
 def op3_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.common import fold
     from tesserae.llm.langid import identify, train
@@ -98,6 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
+    "op2_claimed_slots": op2_claimed_slots,
     "op3_output_codes": op3_output_codes,
     "op4_line_field": op4_line_field,
     "op5_character_network": op5_character_network,
