@@ -88,19 +88,20 @@ def _describe(n: int, common, parts: tuple[int, int]):
     frequency table makes frequent shingles come last.
     """
 
-    @F.pandas_udf("struct<n: long, `set`: long, bits: binary, stars: array<long>, rare: binary>")
+    @F.pandas_udf("struct<n: long, `set`: long, bits: binary, stars: array<long>, typical: double, rare: binary>")
     def describe(texts: pd.Series) -> pd.DataFrame:
         often, rows = common.value, []
         for s in shingle_sets(iter(texts), n):
             size = len(s)
             if not size:
-                rows.append((0, 0, None, None, None))
+                rows.append((0, 0, None, None, None, None))
                 continue
-            order = np.argsort(often[(s >> np.uint64(46)).astype(np.int64)], kind="stable")
+            counts = often[(s >> np.uint64(46)).astype(np.int64)]
+            order = np.argsort(counts, kind="stable")
             rare = s[order[: size - least_overlap(size, parts) + 1]]
             stars = [int(mixed(s * odd).min().astype(np.int64)) for odd in _ODD]
-            rows.append((size, set_key(s), bitmap(s, WIDE).tobytes(), stars, rare.tobytes()))
-        return pd.DataFrame(rows, columns=["n", "set", "bits", "stars", "rare"])
+            rows.append((size, set_key(s), bitmap(s, WIDE).tobytes(), stars, float(np.log(counts).mean()), rare.tobytes()))
+        return pd.DataFrame(rows, columns=["n", "set", "bits", "stars", "typical", "rare"])
 
     return describe.asNondeterministic()  # evaluated once
 
@@ -148,7 +149,7 @@ class Tree:
         return np.minimum(i[:, None] * FAN + np.arange(FAN), len(self.levels[level - 1][1]) - 1)
 
 
-def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, leaf: bool, parts: tuple[int, int]) -> np.ndarray:
+def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, parts: tuple[int, int]) -> np.ndarray:
     """Whether node pairs may hold a link: not one known component, sizes that fit, and overlap enough."""
     p, q = parts
     ok = ~(a[5][i] & b[5][j] & (a[4][i] == b[4][j]))
@@ -165,7 +166,7 @@ def joined(left: Tree, right: Tree | None, parts: tuple[int, int]) -> tuple[np.n
     la, lb = len(left.levels) - 1, len(right.levels) - 1
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
-        keep = possible(left.levels[la], right.levels[lb], i, j, la == lb == 0, parts)
+        keep = possible(left.levels[la], right.levels[lb], i, j, parts)
         i, j = i[keep], j[keep]
         if la == lb == 0 or not len(i):
             break
@@ -203,6 +204,21 @@ def _tree_join(parts: tuple[int, int]):
         x, y = g["set"][a], g["set"][b]
         return np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
 
+    def leaves(g: dict[str, np.ndarray], start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Groups that one node holds: the leaf step of the traversal, for all of them at once."""
+        out = [np.zeros((0, 2), np.int64)]
+        slack, one = g["n"] - _pop(g["bits"]), np.ones(len(g["n"]), bool)
+        level = (g["bits"], g["n"], g["n"], slack, g["root"], one)
+        for gap in range(1, FAN):
+            for first in range(FAN - gap):
+                i = start[size > first + gap] + first
+                j = i + gap
+                keep = possible(level, level, i, j, parts)
+                keep &= (g["i"][i] == g["j"][i]) | (g["side"][i] != g["side"][j])
+                x, y = g["set"][i[keep]], g["set"][j[keep]]
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+        return np.concatenate(out)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wait: dict[str, np.ndarray] | None = None
 
@@ -210,9 +226,12 @@ def _tree_join(parts: tuple[int, int]):
             marks = np.stack([g[x] for x in names], axis=1)
             edges = np.r_[0, np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, len(marks)]
             stop = len(edges) - 1 if last else len(edges) - 2
-            out = [pairs({k: v[a:b] for k, v in g.items()}) for a, b in zip(edges[:stop], edges[1:], strict=False) if b - a > 1]
+            size = np.diff(edges[: stop + 1])
+            large = np.flatnonzero(size > FAN)
+            out = [pairs({k: v[edges[x] : edges[x + 1]] for k, v in g.items()}) for x in large]
+            out.append(leaves(g, edges[:stop][size <= FAN], size[size <= FAN]))
             rest = None if last else {k: v[edges[-2] :] for k, v in g.items()}
-            found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            found = np.unique(np.concatenate(out), axis=0)
             return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]}), rest
 
         for batch in batches:
@@ -311,7 +330,8 @@ def near_sets(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (80, 100
     text of each group) for every row. Exact:
 
     1. Equal sets become one; links between sets with an equal minimum under one of a few hash orders, each to
-       the smallest of its group, are verified. They join large groups of near copies in linear work.
+       the most typical of its group (its shingles are the most frequent ones), are verified. They join large groups
+       of near copies in linear work.
     2. Sets that link share one of their rarest shingles. Sets of a rare shingle that are not one component yet
        form signature trees (bitmaps, size ranges), in blocks where a shingle has very many; dual traversal drops
        node pairs whose largest possible overlap is too small. What is left is verified on whole sets.
@@ -332,9 +352,9 @@ def near_sets(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (80, 100
     lows = written(lows, "lows")
     reps = written(rows.drop("doc_id").join(lows.select("uid"), "uid", "left_semi"), "reps")
 
-    star = reps.select("set", F.posexplode("stars").alias("k", "least"))
-    centre = star.groupBy("k", "least").agg(F.min("set").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = star.join(centre, ["k", "least"]).where("a <> `set`").select("a", F.col("set").alias("b")).distinct()
+    star = reps.select("set", "typical", F.posexplode("stars").alias("k", "least"))
+    centre = star.groupBy("k", "least").agg(F.max(F.struct("typical", "set"))["set"].alias("a"), F.count("*").alias("c"))
+    pairs = star.join(centre.where("c > 1"), ["k", "least"]).where("a <> `set`").select("a", F.col("set").alias("b")).distinct()
     first = _links(pairs, reps, docs, words, parts)
     known = written(components(first), "known")
 
