@@ -16,7 +16,7 @@ from tesserae.llm.shingles import BASE, _powers, mixed
 GRAM = 32  # bytes of a trigger
 PLACE = 24  # bits of a place in a block
 BLOCK = 1 << 20  # bytes that are parsed at once
-FLUSH = 600_000  # phrases that are combined before they are sent
+FLUSH = 300_000  # phrases that are combined before they are sent
 NO_ID = (1 << 63) - 1
 
 PIECE = "key long, phrase long, d long, th int, lo int, c int"
@@ -90,6 +90,13 @@ def _parsed(docs: list[int], raw: bytes, lengths: np.ndarray, size: int) -> Iter
     }
 
 
+def _parsed_batch(texts: pd.Series, size: int, docs: int = 64) -> Iterator[dict[str, np.ndarray]]:
+    """``parse`` for a batch, a few documents at a time."""
+    for a in range(0, len(texts), docs):
+        for x in parse([t.encode("utf-8", "replace") for t in texts.iloc[a : a + docs]], size):
+            yield x | {"doc": x["doc"] + a}
+
+
 def _spans(d: np.ndarray, th: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Union of intervals within each document, in order."""
     if not len(d):
@@ -135,9 +142,8 @@ def _phrases(size: int, hot):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, parts, n = hot.value, [], 0
         for batch in batches:
-            raws = [t.encode("utf-8", "replace") for t in batch["text"]]
             ids, ths = batch["d"].to_numpy(), batch["th"].to_numpy()
-            for x in parse(raws, size):
+            for x in _parsed_batch(batch["text"], size):
                 d, th = ids[x["doc"]], ths[x["doc"]]
                 trigger = x["trigger"].astype(np.int64)
                 spot = np.minimum(np.searchsorted(often, trigger), max(len(often) - 1, 0))
@@ -157,6 +163,7 @@ def _phrases(size: int, hot):
                 if n > FLUSH:
                     yield from _send(parts, size)
                     parts, n = [], 0
+                del x
         if n:
             yield from _send(parts, size)
 
@@ -166,7 +173,7 @@ def _phrases(size: int, hot):
 def _triggers(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for x in parse([t.encode("utf-8", "replace") for t in batch["text"]], size):
+            for x in _parsed_batch(batch["text"], size):
                 yield pd.DataFrame({"key": x["trigger"].astype(np.int64), "phrase": x["print"].astype(np.int64)})
 
     return run
@@ -250,7 +257,7 @@ def _entries(size: int):
     return run
 
 
-def _suffixes(size: int, most: int = 400_000):
+def _suffixes(size: int, most: int = 150_000):
     """Suffix order of dictionary entries, to the depth of a window: equal neighbours are repeats of the earliest."""
 
     def resolve(g: pd.DataFrame) -> tuple[np.ndarray, ...]:
