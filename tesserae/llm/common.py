@@ -25,6 +25,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files that only this table needed go once the driver's JVM has collected what refers to them.
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.tesserae_path = path
     return out

@@ -14,9 +14,10 @@ from pyspark.sql import window as W
 from tesserae.llm.common import components, discard, width, written
 from tesserae.llm.shingles import mixed, shingle_sets
 
-BUCKETS = 1 << 18  # counters of the frequency table, whatever the size of the corpus
-SEGMENTS = 16
-WIDE, NARROW = 2048, 512  # bits of a set's own bitmap, and of one in a tree
+PLACES = 22  # bits of a counter's number in the frequency table, whatever the size of the corpus
+BUCKETS = 1 << PLACES
+SEGMENTS = 64
+WIDE, NARROW = 2048, 1024  # bits of a set's own bitmap, and of one in a tree
 STARS = 4
 BLOCK = 512
 FAN = 8
@@ -34,19 +35,24 @@ def _count(n: int):
     """First pass: how often the shingles of each bucket occur in this partition's texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, some, wait, size = np.zeros(BUCKETS, np.int64), False, [], 0
+        counts, wait, size, some = np.zeros(BUCKETS, np.int32), [], 0, False
+
+        def add() -> None:
+            places, n = np.unique(np.concatenate(wait) >> np.uint64(64 - PLACES), return_counts=True)
+            counts[places.astype(np.int64)] += n.astype(np.int32)
+
         for batch in batches:
             for s in shingle_sets(iter(batch["text"]), n):
-                some = some or len(s) > 0
                 wait.append(s)
                 size += len(s)
-                if size > BUCKETS:
-                    counts += np.bincount((np.concatenate(wait) >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
-                    wait, size = [], 0
-        if wait:
-            counts += np.bincount((np.concatenate(wait) >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
-        if some:
-            yield pd.DataFrame({"segment": range(SEGMENTS), "counts": [x.tobytes() for x in counts.reshape(SEGMENTS, -1)]})
+                if size > 1 << 20:
+                    add()
+                    wait, size, some = [], 0, True
+        if size:
+            add()
+        if size or some:
+            parts = np.minimum(counts, 255).astype(np.uint8).reshape(SEGMENTS, -1)
+            yield pd.DataFrame({"segment": range(SEGMENTS), "counts": [x.tobytes() for x in parts]})
 
     return run
 
@@ -55,18 +61,22 @@ def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(batch["segment"], batch["counts"], strict=True):
-            own = np.frombuffer(raw, np.int64)
-            sums[k] = sums[k] + own if k in sums else own
-    yield pd.DataFrame({"segment": list(sums), "counts": [x.tobytes() for x in sums.values()]}).astype({"segment": "int32"})
+            sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint8).astype(np.int64)
+    out = {k: np.minimum(x, 65_535).astype(np.uint16).tobytes() for k, x in sums.items()}
+    yield pd.DataFrame({"segment": list(out), "counts": list(out.values())}).astype({"segment": "int32"})
 
 
 def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """How often the shingles of each of BUCKETS buckets occur in all texts: a table of a fixed size (2 MB)."""
+    """How often the shingles of each of BUCKETS buckets occur in all texts: a table of a fixed size (8 MB).
+
+    A task's own count stops at 255 and the sum at 65535. The table only sets an order of shingles, the same for
+    all documents; any order is exact.
+    """
     parts = docs.select("text").mapInPandas(_count(n), "segment int, counts binary")
     got = parts.repartition(SEGMENTS, "segment").mapInPandas(_add, "segment int, counts binary").collect()
-    out = np.zeros((SEGMENTS, BUCKETS // SEGMENTS), np.int64)
+    out = np.zeros((SEGMENTS, BUCKETS // SEGMENTS), np.uint16)
     for k, raw in got:
-        out[k] = np.frombuffer(raw, np.int64)
+        out[k] = np.frombuffer(raw, np.uint16)
     return out.ravel()
 
 
@@ -96,11 +106,11 @@ def _describe(n: int, common, parts: tuple[int, int]):
             if not size:
                 rows.append((0, 0, None, None, None, None))
                 continue
-            counts = often[(s >> np.uint64(46)).astype(np.int64)]
+            counts = often[(s >> np.uint64(64 - PLACES)).astype(np.int64)]
             order = np.argsort(counts, kind="stable")
             rare = s[order[: size - least_overlap(size, parts) + 1]]
             stars = [int(mixed(s * odd).min().astype(np.int64)) for odd in _ODD]
-            rows.append((size, set_key(s), bitmap(s, WIDE).tobytes(), stars, float(np.log(counts).mean()), rare.tobytes()))
+            rows.append((size, set_key(s), bitmap(s, WIDE).tobytes(), stars, float(np.log(np.maximum(counts, 1)).mean()), rare.tobytes()))
         return pd.DataFrame(rows, columns=["n", "set", "bits", "stars", "typical", "rare"])
 
     return describe.asNondeterministic()  # evaluated once
