@@ -43,12 +43,13 @@ def materialized(assets: DataFrame, selected: DataFrame, chunk_id: str, text: st
     return own.withColumns({"id": named, "_r": place}).where(F.col("_r") <= most).drop("_r")
 
 
-def material_body(body: Column, quotes_by_id: Column, quotes: Column, least: int = 4) -> Column:
-    """A body without leaks, its quote markers filled and any quote that is still missing added at the end."""
-    mark = F.regexp_replace(body, r"\[\[QUOTE:", "\x1dQUOTE:")
-    safe = F.regexp_replace(strip_fragments(mark, quotes, least), "\x1dQUOTE:", "[[QUOTE:")
-    whole = markers_replaced(safe, quotes_by_id)
-    return filled(whole, F.filter(quotes, lambda q: ~F.contains(whole, q)))
+def material_bodies(rows: DataFrame, body: str, quotes_by_id: str, quotes: str, least: int = 4) -> DataFrame:
+    """Bodies without leaks, their quote markers filled and any quote that is still missing added at the end."""
+    mark = F.regexp_replace(F.col(body), r"\[\[QUOTE:", "\x1dQUOTE:")
+    safe = rows.withColumn("_safe", strip_fragments(mark, F.col(quotes), least))
+    safe = safe.withColumn("_whole", markers_replaced(F.regexp_replace("_safe", "\x1dQUOTE:", "[[QUOTE:"), F.col(quotes_by_id)))
+    missing = F.filter(quotes, lambda q: ~F.contains(F.col("_whole"), q))
+    return safe.withColumn(body, filled(F.col("_whole"), missing)).drop("_safe", "_whole")
 
 
 def used(asset_ids: Column, known_assets: Column, chunk_ids: Column, asset_chunks: Column, selected: Column) -> Column:
