@@ -248,11 +248,14 @@ def _entries(size: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for text, d, th, asked in zip(batch["text"], batch["d"], batch["th"], batch["asked"], strict=True):
-                raw = text.encode("utf-8", "replace")
-                out += [(a["key"], d, th, a["lo"], a["c"], raw[a["lo"] : a["lo"] + a["c"] + size - 1]) for a in asked]
-            yield pd.DataFrame(out, columns=["key", "d", "th", "lo", "c", "bytes"])
+            for a in range(0, len(batch), 500):
+                part = batch.iloc[a : a + 500]
+                n = part["keys"].map(len).to_numpy()
+                raws = [t.encode("utf-8", "replace") for t in part["text"]]
+                whole = [raw[x : x + c + size - 1] for raw, los, cs in zip(raws, part["los"], part["cs"], strict=True) for x, c in zip(los, cs, strict=True)]
+                columns = {"key": np.concatenate(part["keys"].to_numpy()), "d": np.repeat(part["d"].to_numpy(), n), "th": np.repeat(part["th"].to_numpy(), n)}
+                columns |= {"lo": np.concatenate(part["los"].to_numpy()), "c": np.concatenate(part["cs"].to_numpy()), "bytes": whole}
+                yield pd.DataFrame(columns)
 
     return run
 
@@ -298,7 +301,8 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     for text, own in zip(texts, spans, strict=True):
         raw, kept, end, removed, n = text.encode("utf-8", "replace"), [], 0, 0, 0
         last = -1
-        for lo, hi in sorted((s["lo"], -s["c"]) for s in own) if own is not None else ():
+        own = np.sort(own) if own is not None else np.zeros(0, np.int64)
+        for lo, hi in zip((own >> 32).tolist(), (own & 0xFFFFFFFF).tolist(), strict=True):
             if lo > last:
                 n += 1
                 kept.append(raw[end:lo])
@@ -336,13 +340,16 @@ def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", tex
     pieces = long_.select("d", "th", "text").mapInPandas(_phrases(size, hot), PIECE)
     pieces = pieces.repartition(parts, "key").sortWithinPartitions("key", "phrase", "d", "th", "lo")
     entries = written(pieces.mapInPandas(_dictionary(size), PIECE), "dictionary")
-    asked = entries.where("c > 0").groupBy("d", "th").agg(F.collect_list(F.struct("key", "lo", "c")).alias("asked"))  # of one document
+    asked = entries.where("c > 0").groupBy("d", "th").agg(F.collect_list(F.struct("key", "lo", "c")).alias("own"))  # of one document
+    asked = asked.select("d", "th", F.col("own.key").alias("keys"), F.col("own.lo").alias("los"), F.col("own.c").alias("cs"))
     texts = long_.select("d", "th", "text").join(asked, ["d", "th"])
     kinds = "key long, d long, th int, lo int, c int, bytes binary"
     going = texts.mapInPandas(_entries(size), kinds).repartition(parts, "key").sortWithinPartitions("key")
     found = written(going.mapInPandas(_suffixes(size), "d long, th int, lo int, c int"), "suffixes")
     spans = entries.where("c < 0").select("d", "th", "lo", "c").union(found)
-    spans = spans.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "c")).alias("spans"))  # of one document
+    # start and end of a span in one number, which reaches Python as a plain array
+    both = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(-F.col("c").cast("long"))
+    spans = spans.groupBy("d", "th").agg(F.collect_list(both).alias("spans"))  # of one document
     whole = docs.join(spans, ["d", "th"], "left").select("doc_id", "text", "spans")
     kinds = "struct<n_bytes: long, n_removed: long, n_spans: long, kept_sha256: string, kept: binary>"
     cut = F.pandas_udf(_cut, kinds).asNondeterministic()  # evaluated once
