@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB, unless the session sets them: a Python worker then holds little more than that of texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(8 << 20))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import hash_sample
+from tesserae.llm.common import hash_sample, small_batches
 
 SIZE = 1 << 13
 UNKNOWN = "und"
@@ -133,6 +133,7 @@ def train(docs: DataFrame, usable: Column | bool = True, max_rows: int = 4000, m
     Rows count as labelled where ``lang`` is not null and ``usable`` holds. Executors turn whole texts into
     sparse features; the driver receives those of the bounded sample. None where nothing is labelled.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.lit(usable))
     sizes = dict(labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect())
     if not sizes:
@@ -171,5 +172,6 @@ def labeller(model: LanguageCodes | None, least_lead: float = 0.2):
 
 def identify(docs: DataFrame, model: LanguageCodes | None, least_lead: float = 0.2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Add lang_pred, score and ambiguous (see ``labeller``) to the columns ``keep`` of every row."""
+    small_batches(docs.sparkSession)
     own = labeller(model, least_lead)(F.col("text").cast("string")).alias("_own")
     return docs.select(*keep, own).select(*keep, "_own.lang_pred", "_own.score", "_own.ambiguous")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tesserae.llm.common import components, discard, width, written
+from tesserae.llm.common import components, discard, small_batches, width, written
 from tesserae.llm.shingles import mixed, shingle_sets
 
 PLACES = 22  # bits of a counter's number in the frequency table, whatever the size of the corpus
@@ -350,6 +350,7 @@ def near_sets(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (80, 100
     ids name a group only if it has no other. Only columns ``id_col`` and ``text_col`` are read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     common = spark.sparkContext.broadcast(frequencies(docs, words))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import width, written
+from tesserae.llm.common import small_batches, width, written
 from tesserae.llm.hilbert import hilbert_key
 
 BUCKETS, DIMS, BITS = 256, 4, 12
@@ -140,6 +140,7 @@ def pack(
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    small_batches(spark)
     dtype = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = _tokenise(tokenizer_path, dtype, end_id)("text").alias("_own")

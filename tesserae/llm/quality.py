@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import hash_sample
+from tesserae.llm.common import hash_sample, small_batches
 
 #: Measures of a line; each falls into one of BINS bins, and so do those of the lines before and after it.
 MEASURES = ["words", "word_length", "distinct", "same_as_next", "upper", "digits", "marks", "odd_words", "pipes", "starts_upper", "stop", "accents"]
@@ -231,4 +231,5 @@ def scorer(field: LineField | None):
 
 def score(docs: DataFrame, field: LineField | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Add ``score`` (0 to 1, higher: better) to the columns ``keep`` of every row, from its whole text."""
+    small_batches(docs.sparkSession)
     return docs.select(*keep, scorer(field)(F.col("text").cast("string")).alias("score"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import hash_sample, width, written
+from tesserae.llm.common import hash_sample, small_batches, width, written
 from tesserae.llm.shingles import BASE, _powers, mixed
 
 GRAM = 32  # bytes of a trigger
@@ -333,6 +333,7 @@ def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", tex
     if size <= GRAM:
         raise ValueError(f"size must be more than {GRAM}")
     spark, parts = docs.sparkSession, width(docs.sparkSession)
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumns({"d": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.hash("text")})
     long_ = docs.where(F.octet_length("text") >= size)
