@@ -82,10 +82,9 @@ class LanguageCodes:
 def _fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 60) -> LanguageCodes:
     """Fit one logistic classifier for each bit by Adam; a fifth of the rows weigh the bits and set the heat."""
     code = codewords(len(languages))
-    order = np.random.default_rng(3).permutation(len(x))
-    tune, rest = order[: len(x) // 5], order[len(x) // 5 :]
-    if len(tune) < 20:
-        tune = rest = order
+    tune, rest = slice(0, len(x) // 5), slice(len(x) // 5, None)  # views: the rows come in random order
+    if len(x) < 100:
+        tune = rest = slice(None)
     target = (code[y] + 1) / 2
     share = np.bincount(y[rest], minlength=len(languages)).astype(float)
     weight = (1 / np.maximum(share, 1))[y[rest]]
@@ -94,7 +93,7 @@ def _fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 60) ->
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
     xr, tr = x[rest], target[rest].astype(np.float32)
     for t in range(1, steps + 1):
-        err = (1 / (1 + np.exp(-np.clip(xr @ w + b, -30, 30))) - tr) * weight / len(xr)
+        err = ((1 / (1 + np.exp(-np.clip(xr @ w + b, -30, 30))) - tr) * weight / len(xr)).astype(np.float32)
         grads = xr.T @ err + 1e-6 * w, err.sum(axis=0)
         for k, (p, g) in enumerate(zip((w, b), grads, strict=True)):
             m, v = state[2 * k], state[2 * k + 1]
@@ -107,7 +106,7 @@ def _fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 60) ->
     model = LanguageCodes(languages, code, w, b, bit_weight / bit_weight.sum(), 1.0)
     loss = model.losses(x[tune])
     heats = [0.5, 1, 2, 4, 8, 16]
-    likely = [(-h * loss)[np.arange(len(tune)), y[tune]] - np.logaddexp.reduce(-h * loss, axis=1) for h in heats]
+    likely = [(-h * loss)[np.arange(len(loss)), y[tune]] - np.logaddexp.reduce(-h * loss, axis=1) for h in heats]
     model.heat = heats[int(np.argmax([p.mean() for p in likely]))]
     return model
 
@@ -143,10 +142,12 @@ def train(docs: DataFrame, usable: Column | bool = True, max_rows: int = 4000, m
     chosen = labelled.where(hash_sample("doc_id", share[F.col("lang")])).select("lang", "text")
     languages = sorted(sizes)
     got = chosen.mapInPandas(_sparse(languages), "y int, at binary, value binary").toPandas()
-    x = np.zeros((len(got), SIZE), np.float32)
-    for k, (at, value) in enumerate(zip(got["at"], got["value"], strict=True)):
-        x[k, np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f4")
-    return _fit(x, got["y"].to_numpy(), languages)
+    x, order = np.zeros((len(got), SIZE), np.float32), np.random.default_rng(3).permutation(len(got))
+    for k, row in enumerate(order):
+        x[k, np.frombuffer(got["at"].iloc[row], "<u2")] = np.frombuffer(got["value"].iloc[row], "<f4")
+    y = got["y"].to_numpy()[order]
+    del got
+    return _fit(x, y, languages)
 
 
 def labeller(model: LanguageCodes | None, least_lead: float = 0.2):
