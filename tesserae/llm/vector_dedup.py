@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from tesserae.llm.vectors import by_group, numbered, stacked
 
 STEP = 2.4  # width of a quantised projection; near pairs at cosine 0.9 are 0.45 apart, unrelated ones about 1.41
 BLOCK = 1024
+MISS = 0.01  # most pairs at the least cosine that share no bucket, at every number of rows
+LEAST_TABLES = 28
 
 
 def projections_for(rows: int) -> int:
@@ -21,7 +24,17 @@ def projections_for(rows: int) -> int:
     return max(6, int(np.ceil(np.log(max(rows, 2)) / 0.635)))
 
 
+def tables_for(k: int, least: float) -> int:
+    """Tables of ``k`` projections that leave at most ``MISS`` of the pairs at cosine ``least`` without a common bucket."""
+    ratio = STEP / max(math.sqrt(max(2 - 2 * least, 0.0)), 1e-6)
+    inside = math.erf(ratio / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * ratio) * (1 - math.exp(-(ratio**2) / 2))
+    share = inside**k  # of one table, by the collision probability of p-stable hashing
+    return LEAST_TABLES if share >= 1 - MISS else max(LEAST_TABLES, math.ceil(math.log(MISS) / math.log1p(-share)))
+
+
 def _hashes(tables: int, k: int, seed: int):
+    part = max(1, (1 << 21) // (tables * k))  # rows projected at once
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             signs = np.zeros((len(batch), tables), np.int64)
@@ -34,10 +47,11 @@ def _hashes(tables: int, k: int, seed: int):
                 x = stacked(batch["v"].iloc[own])
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                cells = np.floor(x @ planes / STEP + shift).astype(np.int64) * mix
                 salt = np.arange(tables, dtype=np.int64) * np.int64(0x9E3779B97F4A7C1) + int(d)
-                h = cells.reshape(len(own), tables, k).sum(axis=2) + salt
-                signs[own] = (h ^ (h >> np.int64(29))) * np.int64(-4658895280553007687)
+                for lo in range(0, len(own), part):
+                    cells = np.floor(x[lo : lo + part] @ planes / STEP + shift).astype(np.int64) * mix
+                    h = cells.reshape(-1, tables, k).sum(axis=2) + salt
+                    signs[own[lo : lo + part]] = (h ^ (h >> np.int64(29))) * np.int64(-4658895280553007687)
             yield pd.DataFrame({"uid": batch["uid"], "buckets": list(signs)})
 
     return run
@@ -49,7 +63,7 @@ def _matches(least: float):
     def work(g: pd.DataFrame) -> pd.DataFrame | None:
         if len(g) < 2:
             return None
-        table, left, right = int(g["t"].iloc[0]), int(g["i"].iloc[0]), int(g["j"].iloc[0])
+        table, left, right = int(g["t"].min()), int(g["i"].iloc[0]), int(g["j"].iloc[0])
         x = stacked(g["v"])
         x /= np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -68,8 +82,10 @@ def _matches(least: float):
                 break
             root = lower
         first = near
-        signs = np.stack(g["buckets"].to_numpy())
+        signs = np.stack([b[:table] for b in g["buckets"]])
         for t in range(table):
+            if not first.any():
+                break
             first &= signs[:, t][:, None] != signs[:, t][None, :]
         return pd.DataFrame({"uid": uid, "links": first @ m, "root": root})
 
@@ -77,14 +93,16 @@ def _matches(least: float):
 
 
 def near_vectors(
-    vectors: DataFrame, least: float = 0.9, tables: int = 28, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding"
+    vectors: DataFrame, least: float = 0.9, tables: int | None = None, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """Link vectors with a cosine of ``least`` or more that share a bucket; count links and name components.
 
     Returns vec_id, n_links, component_id, kept for every row. Equal vectors are one representative from the
     start. Representatives fall into ``tables`` buckets of quantised random projections; a bucket is compared
     with itself exactly, in blocks of bounded size, so a large bucket becomes many tasks. A pair counts in the
-    first table in which it meets, so links are summed without listing pairs.
+    first table in which it meets, so links are summed without listing pairs. Unless given, the number of tables
+    follows from the projections a table, so that at every number of rows a pair at cosine ``least`` is missed
+    with a probability of ``MISS`` at most, and a nearer pair more rarely.
 
     Vectors that are null, zero, or hold null or non-finite components: n_links 0, alone. Vectors of different
     length never link. Repeated ids are vectors of their own; a null id never becomes a component's name unless
@@ -96,7 +114,9 @@ def near_vectors(
     reps = live.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.count("*").alias("m"), F.min("vec_id").alias("low"))
     reps = written(reps, "reps")
     whole = live.select("uid", "v").join(reps.select(F.col("rep").alias("uid"), "m"), "uid")
-    signs = whole.select("uid", "v").mapInPandas(_hashes(tables, projections_for(reps.count()), seed), "uid long, buckets array<long>")
+    k = projections_for(reps.count())
+    hashes = _hashes(tables_for(k, least) if tables is None else tables, k, seed)
+    signs = whole.select("uid", "v").mapInPandas(hashes, "uid long, buckets array<long>")
     signs = written(whole.join(signs, "uid"), "signs")
     spread = signs.select("uid", F.posexplode("buckets").alias("t", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -106,7 +126,10 @@ def near_vectors(
     meet = meet.select(
         "uid", "t", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side")
     )
-    pairs = meet.join(signs, "uid").repartition(width(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    # of the buckets only those of earlier tables are compared
+    earlier = F.slice("buckets", 1, F.col("t")).alias("buckets")
+    pairs = meet.join(signs, "uid").select(*meet.columns, "v", "m", earlier)
+    pairs = pairs.repartition(width(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     found = written(pairs.mapInPandas(_matches(least), "uid long, links long, root long"), "links")
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))

@@ -71,6 +71,18 @@ def test_near_vectors(vectors, monkeypatch, block):
     assert vector_dedup.near_vectors(vectors.limit(0)).count() == 0
 
 
+def test_near_vectors_at_a_million_rows(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "projections_for", lambda rows: 22)  # as for a million rows; the tables are the default
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(2, 400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.901 * x + np.sqrt(1 - 0.901**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    both = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    got = vector_dedup.near_vectors(both).where("n_links > 0").count()
+    assert got >= 2 * 0.97 * 400
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(int(a), int(b)) for a, b in rng.integers(200, 260, (50, 2))]
