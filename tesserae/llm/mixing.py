@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import hash_sample, small_batches, written
+from tesserae.llm.common import small_batches, written
 
 SIZE = 128
+GRAIN = 1 << 24  # steps a unit when vectors are added up
 OTHER, MISSING = "(other)", "(none)"
 MARGINS = ("source", "lang", "topic")
 
@@ -39,37 +42,85 @@ def _vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.sqrt(out / np.maximum(n, 1)[:, None]), n
 
 
-def _centres(x: np.ndarray, topics: int, rounds: int = 25) -> np.ndarray:
-    """Spherical k-means from far-apart starts, the same for the same rows."""
+def _scores(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Similarity of rows to centres; a row has the same ones in whatever batch it comes."""
+    return np.einsum("ij,kj->ik", x, c)
+
+
+def _starts(x: np.ndarray, topics: int) -> np.ndarray:
+    """Far-apart rows, the same for the same rows."""
     if not len(x):
         return np.zeros((1, SIZE))
     picks = [0]
     for _ in range(1, min(topics, len(x))):
         picks.append(int(np.argmin((x @ x[picks].T).max(axis=1))))
-    c = x[picks]
-    for _ in range(rounds):
-        own = (x @ c.T).argmax(axis=1)
-        c = np.stack([x[own == k].mean(axis=0) if (own == k).any() else c[k] for k in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    return x[picks]
+
+
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), np.float32).reshape(-1, SIZE).astype(float)
+
+
+def _sums(c: np.ndarray):
+    """Of each task: by centre the sum of the vectors of its rows, in whole steps of 1 / ``GRAIN``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = np.zeros(len(c), np.int64), np.zeros((len(c), SIZE), np.int64)
+        for batch in batches:
+            x = _stacked(batch["vector"])
+            own = _scores(x, c).argmax(axis=1)
+            steps = np.rint(x * GRAIN).astype(np.int64)
+            for k in np.unique(own):
+                n[k] += (own == k).sum()
+                total[k] += steps[own == k].sum(axis=0)
+        used = np.flatnonzero(n)
+        yield pd.DataFrame({"topic": used, **{f"s{j}": total[used, j] for j in range(SIZE)}})
+
+    return run
+
+
+def topic_centres(vectors: DataFrame, topics: int = 8, max_rows: int = 2000, rounds: int = 25) -> np.ndarray:
+    """Spherical k-means over all rows of ``vectors`` (``doc_id``, ``vector``, ``tokens``) that have a word.
+
+    Only the starts come from a sample: far-apart rows of ``max_rows`` at most, by hash of id and vector. In each
+    round tasks assign their rows and add them up, and the driver receives a row of whole numbers for each topic,
+    so that the result does not depend on partitions. Ends when no centre moves.
+    """
+    rows = vectors.where("tokens > 0").select("doc_id", "vector")
+    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "vector")
+    first = rows.select("vector", draw.alias("draw")).orderBy("draw", "vector").limit(max_rows).toPandas()
+    x = _stacked(first["vector"])
+    c = _starts(x[np.lexsort(x.T)] if len(x) else x, topics)
+    schema = ", ".join(["topic long", *(f"s{j} long" for j in range(SIZE))])
+    for _ in range(rounds if len(x) else 0):
+        parts = rows.select("vector").mapInPandas(_sums(c), schema)
+        got = parts.groupBy("topic").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(SIZE))).toPandas()
+        now = c.copy()
+        now[got["topic"].to_numpy()] = got.drop(columns="topic").to_numpy(float)
+        now /= np.maximum(np.linalg.norm(now, axis=1, keepdims=True), 1e-12)
+        if np.abs(now - c).max() < 1e-9:
+            break
+        c = now
     return c
 
 
-def topic_centres(docs: DataFrame, topics: int = 8, max_rows: int = 2000, max_chars: int = 20_000) -> np.ndarray:
-    """Topic centres fitted on about ``max_rows`` documents, chosen by hash of the id, none over ``max_chars``."""
-    rows = docs.where(hash_sample("doc_id", min(1.0, max_rows / max(docs.count(), 1))) & F.length("text").between(1, max_chars))
-    vectors = lambda batches: (pd.DataFrame({"v": list(_vectors(list(b["text"]))[0])}) for b in batches)
-    got = rows.select("text").mapInPandas(vectors, "v array<double>").toPandas()
-    x = np.stack(got["v"]) if len(got) else np.zeros((0, SIZE))
-    return _centres(x[np.lexsort(x.T)] if len(x) else x, topics)
+def _sketch(text):
+    """Of a text its vector, as bytes of 32-bit numbers, and its number of words."""
+
+    @F.pandas_udf("struct<vector: binary, tokens: long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        x, n = _vectors([t or "" for t in texts])
+        return pd.DataFrame({"vector": [v.tobytes() for v in x.astype(np.float32)], "tokens": n})
+
+    return sketch.asNondeterministic()(text)  # evaluated once
 
 
 def _topics(centres: np.ndarray):
-    @F.pandas_udf("struct<topic: string, tokens: long>")
-    def topics(texts: pd.Series) -> pd.DataFrame:
-        x, n = _vectors([t or "" for t in texts])
-        return pd.DataFrame({"topic": (x @ centres.T).argmax(axis=1).astype(str), "tokens": n})
+    @F.pandas_udf("string")
+    def topics(vectors: pd.Series) -> pd.Series:
+        return pd.Series(_scores(_stacked(vectors), centres).argmax(axis=1).astype(str))
 
-    return topics.asNondeterministic()  # evaluated once
+    return topics
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray], share: float, rounds: int = 500) -> np.ndarray:
@@ -119,9 +170,10 @@ def mix(
     small_batches(docs.sparkSession)
     most = {"source": 256, "lang": 64} | (most or {})
     names = list(dict.fromkeys([*keep, "doc_id", "source", "lang"]))
-    own = _topics(topic_centres(docs, topics))(F.col("text").cast("string")).alias("_own")
-    labelled = docs.select(*names, own).select(*names, "_own.topic", "_own.tokens")
-    labelled = written(labelled, "labelled")
+    own = _sketch(F.col("text").cast("string")).alias("_own")
+    sketched = written(docs.select(*names, own).select(*names, "_own.vector", "_own.tokens"), "sketched")
+    topic = _topics(topic_centres(sketched, topics))(F.col("vector")).alias("topic")
+    labelled = sketched.select(*names, topic, "tokens")
     for name in ("source", "lang"):
         value = F.coalesce(F.col(name).cast("string"), F.lit(MISSING))
         wanted = list((targets or {}).get(name, {}))

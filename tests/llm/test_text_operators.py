@@ -221,6 +221,22 @@ def test_mix(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_topics_come_from_all_documents(spark):
+    rng = np.random.default_rng(6)
+    text = lambda k, n: " ".join(f"{'abc'[k]}{j}" for j in rng.integers(0, 30, n))
+    rows = [(j, text(j % 2, 60), "en", "s") for j in range(80)] + [(100 + j, text(2, 8000), "en", "t") for j in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    out = mixing.mix(df, topics=3).toPandas()  # the texts of one topic are all over 20,000 characters
+    found = [set(out[part].topic) for part in (out.doc_id >= 100, (out.doc_id < 100) & (out.doc_id % 2 == 0), (out.doc_id < 100) & (out.doc_id % 2 == 1))]
+    assert all(len(x) == 1 for x in found) and len(set.union(*found)) == 3
+    vectors = df.select("doc_id", mixing._sketch("text").alias("v")).select("doc_id", "v.vector", "v.tokens")
+    x = mixing._stacked(vectors.toPandas()["vector"])
+    c = mixing.topic_centres(vectors, 3, max_rows=5)  # a fixed point of all rows, not of those that gave the starts
+    own = (x @ c.T).argmax(axis=1)
+    want = np.stack([x[own == k].sum(axis=0) if (own == k).any() else c[k] for k in range(len(c))])
+    assert np.allclose(c, want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-6)
+
+
 def brute_sets(text):
     table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(table))
