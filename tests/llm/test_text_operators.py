@@ -188,6 +188,19 @@ def test_secret_network(spark, docs, none):
     assert secrets.train(none) is None
 
 
+def test_secret_network_with_rare_findings(spark):
+    rng = np.random.default_rng(8)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows = [(k if k % 3 else None, f"some ordinary words, number{k} on the 2024-01-{k % 28 + 1:02d}T00:00 mail{k}.name@mail.example.com") for k in range(3000)]
+    rows += [(5000 + k, f"here a value {hexes(32)} stands") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    net = secrets.train(df, max_docs=150)  # a uniform sample of 150 holds three findings
+    assert net is not None
+    codes = np.stack([secrets._codes(f"here a value {hexes(32)} stands", 13, 45)[0] for _ in range(200)])
+    assert (net.probability(codes) >= net.threshold).mean() >= 0.9
+    assert secrets.candidates("a correcthorsebattery b") == [(2, 21)]
+
+
 def test_redacted_overlaps(spark):
     spans = "array<struct<kind: string, start: long, end: long>>"
     rows = [("ab token=0123 xy", [("a", 3, 13), ("b", 9, 13)]), ("plain", []), ("0123", [("a", 0, 4)]), ("é😀abcd", [("a", 2, 4)])]
