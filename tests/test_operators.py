@@ -262,3 +262,12 @@ def test_workflow_stream(spark, tmp_path):
     q.stop()
     last = {(s, stage): v for _, s, stage, v in sorted(batches, key=lambda b: b[0])}
     assert last[1, "material"] is False and last[1, "selection"] is True and last[2, "assets"] is True
+
+
+def test_sharing_finds_whole_short_texts(spark):
+    from tesserae.operators import fragments
+
+    texts = spark.createDataFrame([(1, "one small passage lies in here"), (2, "nothing of it"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, v) for k, v in enumerate(["passage", "x", "g", "", None, "a small passage lies in there", "passages"])], "item_id long, item string")
+    got = fragments.sharing(texts, "text", items, "item", 20)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 0), (1, 2), (1, 5), (2, 2)]
