@@ -62,40 +62,46 @@ def hash_sample(column, share):
     return F.pmod(F.xxhash64(column), F.lit(1 << 40)) < F.lit(share) * float(1 << 40)
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+#: Rows of two numbers that may be broadcast: 32 MB.
+SMALL = 2_000_000
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected edge table.
 
     ``edges`` has two columns ``a`` and ``b`` of one orderable type. Returns ``node`` and ``root``, the smallest
-    node that it can reach, for every node of an edge. Alternating large-star and small-star rounds: each needs
-    a grouped minimum, which is combined before the shuffle, and an equi-join that adaptive execution splits
-    where one node has very many edges. Every round is written to the shared folder.
+    node that it can reach, for every node of an edge. Alternating large-star and small-star rounds until nothing
+    changes, a number that grows with the logarithm of the longest path. Each needs a grouped minimum, which is
+    combined before the shuffle, and an equi-join: a broadcast one while there are at most SMALL minima, else one
+    of two written tables, which adaptive execution splits where a node has very many edges. Every round is
+    written to the shared folder.
     """
 
     def tidy(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def lowest(e: DataFrame) -> DataFrame:
-        return e.groupBy("a").agg(F.min("b").alias("m"))
+    def lowest(e: DataFrame, rows: int) -> DataFrame:
+        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        return F.broadcast(least) if rows <= SMALL else written(least, "least")
 
     now, before = written(tidy(edges), "edges"), None
-    for _ in range(most_rounds):
+    rows = now.count()
+    while rows:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = lowest(both).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(tidy(large), "large")
-        least = lowest(large)
+        large = both.join(lowest(both, 2 * rows), "a").where("b > a")
+        large = written(tidy(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))), "large")
+        least = lowest(large, rows)
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = written(tidy(small.union(least.select("a", F.col("m").alias("b")))), "small")
+        after = written(tidy(small.union(large.groupBy("a").agg(F.min("b").alias("b")))), "small")
         discard(now, large)
         now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
+        rows = state[0]
         # a star forest: each node points once, and nothing points at a node that points on
-        if state == before or state[0] == state[2] and not now.select("b").distinct().join(
+        if state == before or rows == state[2] and not now.select("b").distinct().join(
             now.select(F.col("a").alias("b")), "b", "left_semi"
         ).take(1):
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -9,15 +9,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from tesserae.llm.common import components, discard, small_batches, width, written
-from tesserae.llm.shingles import mixed, shingle_sets
+from tesserae.llm.shingles import mixed, shingle_sets, wide_sets
 
 PLACES = 22  # bits of a counter's number in the frequency table, whatever the size of the corpus
 BUCKETS = 1 << PLACES
 SEGMENTS = 64
-WIDE, NARROW = 2048, 1024  # bits of a set's own bitmap, and of one in a tree
+NARROW, WIDEST = 1024, 1 << 16  # bits of a bitmap in a tree, the least of a set's own, and the most
 STARS = 4
 BLOCK = 512
 FAN = 8
@@ -80,8 +79,10 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     return out.ravel()
 
 
-def set_key(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63)
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a whole set."""
+    whole = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -91,6 +92,17 @@ def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out)
 
 
+def width_of(n: int) -> int:
+    """Places of the bitmap of a set of n: a power of two, about four times n."""
+    return min(max(NARROW, 1 << int(4 * n - 1).bit_length()), WIDEST)
+
+
+def _folded(raws: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of one width as rows of 64-bit words, folded to ``size`` bytes: place k goes to k modulo the new width."""
+    wide = np.frombuffer(b"".join(raws), np.uint64).reshape(len(raws), -1, size // 8)
+    return np.bitwise_or.reduce(wide, axis=1)
+
+
 def _describe(n: int, common, parts: tuple[int, int]):
     """Second pass, a row for each document: size, key, bitmap, star keys, and its rarest shingles.
 
@@ -98,20 +110,20 @@ def _describe(n: int, common, parts: tuple[int, int]):
     frequency table makes frequent shingles come last.
     """
 
-    @F.pandas_udf("struct<n: long, `set`: long, bits: binary, stars: array<long>, typical: double, rare: binary>")
+    @F.pandas_udf("struct<n: long, k1: long, k2: long, bits: binary, stars: array<long>, typical: double, rare: binary>")
     def describe(texts: pd.Series) -> pd.DataFrame:
         often, rows = common.value, []
         for s in shingle_sets(iter(texts), n):
             size = len(s)
             if not size:
-                rows.append((0, 0, None, None, None, None))
+                rows.append((0, 0, 0, None, None, None, None))
                 continue
             counts = often[(s >> np.uint64(64 - PLACES)).astype(np.int64)]
             order = np.argsort(counts, kind="stable")
             rare = s[order[: size - least_overlap(size, parts) + 1]]
             stars = [int(mixed(s * odd).min().astype(np.int64)) for odd in _ODD]
-            rows.append((size, set_key(s), bitmap(s, WIDE).tobytes(), stars, float(np.log(np.maximum(counts, 1)).mean()), rare.tobytes()))
-        return pd.DataFrame(rows, columns=["n", "set", "bits", "stars", "typical", "rare"])
+            rows.append((size, *set_key(s), bitmap(s, width_of(size)).tobytes(), stars, float(np.log(np.maximum(counts, 1)).mean()), rare.tobytes()))
+        return pd.DataFrame(rows, columns=["n", "k1", "k2", "bits", "stars", "typical", "rare"])
 
     return describe.asNondeterministic()  # evaluated once
 
@@ -260,54 +272,52 @@ def _tree_join(parts: tuple[int, int]):
 
 
 def _narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold wide bitmaps: place k goes to k modulo NARROW."""
+    """Fold every bitmap to the width of the trees."""
     for batch in batches:
-        wide = np.frombuffer(b"".join(batch["bits"]), np.uint8).reshape(len(batch), -1, NARROW // 8)
-        yield batch.assign(bits=[x.tobytes() for x in np.bitwise_or.reduce(wide, axis=1)])
+        yield batch.assign(bits=[_folded([x], NARROW // 8).tobytes() for x in batch["bits"]])
 
 
 def _bounded(parts: tuple[int, int]):
-    """Pairs whose wide bitmaps leave room for a link."""
+    """Pairs whose bitmaps, at the width of the narrower one, leave room for a link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("bits_a", "bits_b"))
             n, m = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
-            most = np.minimum(n - _pop(x & ~y), m - _pop(y & ~x))
-            yield batch.loc[(sum(parts) * most >= parts[0] * (n + m)), ["a", "b"]]
+            widths = np.stack([batch["bits_a"].map(len), batch["bits_b"].map(len)], axis=1) if len(batch) else np.zeros((0, 2), int)
+            keep = np.zeros(len(batch), bool)
+            for pair in np.unique(widths, axis=0):
+                own = np.flatnonzero((widths == pair).all(axis=1))
+                for at in np.array_split(own, -(-len(own) * int(pair.max()) // (8 << 20))):
+                    x, y = (_folded(list(batch[c].iloc[at]), int(pair.min())) for c in ("bits_a", "bits_b"))
+                    most = np.minimum(n[at] - _pop(x & ~y), m[at] - _pop(y & ~x))
+                    keep[at] = sum(parts) * most >= parts[0] * (n[at] + m[at])
+            yield batch.loc[keep, ["a", "b"]]
 
     return run
 
 
 def _sets(n: int):
-    """Whole sets again, 48 bits of each hash, for the documents that stand in a pair."""
+    """Whole sets again, 128 bits of each shingle, for the documents that stand in a pair."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for s in shingle_sets(iter(batch["text"]), n):
-                top = np.ascontiguousarray((s >> np.uint64(16)).astype("<u8"))
-                rows.append((set_key(s) if len(s) else 0, top.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
-            yield pd.DataFrame(rows, columns=["set", "all"])
+            for own in wide_sets(iter(batch["text"]), n):
+                rows.append((*(set_key(own[0]) if own.size else (0, 0)), own.tobytes()))
+            yield pd.DataFrame(rows, columns=["k1", "k2", "all"])
 
     return run
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def _exact(parts: tuple[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["all_a"], batch["all_b"], strict=True):
-                x, y = _unpacked(x), _unpacked(y)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(parts[1] * both >= parts[0] * (len(x) + len(y) - both))
+                x, y = (np.frombuffer(z, np.uint64).reshape(2, -1) for z in (x, y))
+                at = np.minimum(np.searchsorted(y[0], x[0]), y.shape[1] - 1)
+                both = int((y[:, at] == x).all(axis=0).sum())
+                keep.append(parts[1] * both >= parts[0] * (x.shape[1] + y.shape[1] - both))
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     return run
@@ -321,10 +331,11 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, parts: tu
     )
     near = written(near.mapInPandas(_bounded(parts), "a long, b long"), "pairs")
     wanted = near.select(F.col("a").alias("set")).union(near.select(F.col("b").alias("set"))).distinct()
-    wanted = written(reps.select("set", "text_hash").join(wanted, "set"), "wanted")
+    wanted = written(reps.select("set", "k1", "k2", "text_hash").join(wanted, "set"), "wanted")
     hashes = wanted.select("text_hash").distinct()
     hashes = F.broadcast(hashes) if wanted.count() <= SMALL else hashes
-    sets = docs.join(hashes, "text_hash", "left_semi").select("text").mapInPandas(_sets(n), "`set` long, `all` binary").join(wanted.select("set"), "set", "left_semi")
+    sets = docs.join(hashes, "text_hash", "left_semi").select("text").mapInPandas(_sets(n), "k1 long, k2 long, `all` binary")
+    sets = sets.join(wanted.select("set", "k1", "k2"), ["k1", "k2"]).drop("k1", "k2")
     sets = written(sets.dropDuplicates(["set"]), "sets")
     side = lambda x: sets.select(F.col("set").alias(x), F.col("all").alias(f"all_{x}"))
     found = near.join(side("a"), "a").join(side("b"), "b").mapInPandas(_exact(parts), "a long, b long")
@@ -333,21 +344,63 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, parts: tu
     return found
 
 
+def _live(posts: DataFrame) -> DataFrame:
+    """The postings of shingles that sets of different components share, each group of sets once.
+
+    Near copies share many rare shingles, so most groups hold the same sets as another one. Groups are compared
+    by number of sets and two hashes; the group of the smallest token stays.
+    """
+    ends = posts.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    tokens = written(ends.where("low < high").select("token"), "tokens")
+    some = F.broadcast(tokens) if tokens.count() <= SMALL else tokens
+    live = written(posts.join(some, "token"), "postings")
+    same = live.groupBy("token").agg(
+        F.count("*").alias("c"), F.bit_xor(F.xxhash64("set")).alias("h1"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("h2")
+    )
+    first = written(same.groupBy("c", "h1", "h2").agg(F.min("token").alias("token")).select("token"), "groups")
+    some = F.broadcast(first) if first.count() <= SMALL else first
+    out = written(live.join(some, "token"), "live")
+    discard(tokens, live, first)
+    return out
+
+
+def _blocks(live: DataFrame) -> DataFrame:
+    """Pairs of blocks to compare: sets of each group beside ``i`` and ``j``, and the block that they are of.
+
+    A group of up to BLOCK sets is one block. In a larger one the component with most sets has blocks of its own,
+    which are not compared with one another, so that sets which already hang together cost no pairs.
+    """
+    sizes = live.groupBy("token", "root").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("token").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("c"))
+    sizes = sizes.select(
+        "token", F.col("main.root").alias("main"), (F.col("c") <= BLOCK).alias("one"), F.ceil(F.col("main.c") / BLOCK).cast("int").alias("own"),
+        F.greatest(F.ceil((F.col("c") - F.col("main.c")) / BLOCK), F.lit(1)).cast("int").alias("rest"),
+    )
+    is_main = F.col("root") == F.col("main")
+    at = F.when(is_main, F.col("rest") + F.pmod(F.hash("set"), "own")).otherwise(F.pmod(F.hash("set"), "rest"))
+    placed = live.join(sizes, "token").withColumn("side", F.when(F.col("one"), F.lit(0)).otherwise(at))
+    last = F.when(F.col("one"), F.lit(0)).when(is_main, F.col("rest") - 1).otherwise(F.col("rest") + F.col("own") - 1)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return placed.select("token", "set", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+
+
 def near_sets(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents joined by links: parts[1] * intersection >= parts[0] * union of their word shingles.
 
     Returns doc_id, text_hash, n_shingles, component_id (the smallest id that links reach) and kept (true for one
-    text of each group) for every row. Exact:
+    text of each group) for every row. No link between different sets is lost; shingles are compared by 128 bits.
 
     1. Equal sets become one; links between sets with an equal minimum under one of a few hash orders, each to
        the most typical of its group (its shingles are the most frequent ones), are verified. They join large groups
        of near copies in linear work.
     2. Sets that link share one of their rarest shingles. Sets of a rare shingle that are not one component yet
-       form signature trees (bitmaps, size ranges), in blocks where a shingle has very many; dual traversal drops
-       node pairs whose largest possible overlap is too small. What is left is verified on whole sets.
+       form signature trees (bitmaps, size ranges), in blocks where a shingle has very many; shingles that the same
+       sets share are one group. Dual traversal drops node pairs whose largest possible overlap is too small. What
+       is left is verified on whole sets.
 
     Null or empty texts, or texts without words: no shingles, alone. Repeated rows are copies of one another. Null
-    ids name a group only if it has no other. Only columns ``id_col`` and ``text_col`` are read.
+    ids name a group only if it has no other. Very long texts are hashed a block at a time. An empty table gives no
+    rows. Only columns ``id_col`` and ``text_col`` are read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -357,11 +410,12 @@ def near_sets(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (80, 100
     rows = docs.select("doc_id", "text_hash", _describe(words, common, parts)("text").alias("own"))
     rows = rows.select("doc_id", "text_hash", "own.*").withColumn("uid", F.monotonically_increasing_id())
     rows = written(rows, "documents")
-    lows = rows.where("n > 0").groupBy("set").agg(
-        F.min("uid").alias("uid"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("low")
+    lows = rows.where("n > 0").groupBy("k1", "k2").agg(
+        F.min("uid").alias("set"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("low")
     )
     lows = written(lows, "lows")
-    reps = written(rows.drop("doc_id").join(lows.select("uid"), "uid", "left_semi"), "reps")
+    reps = rows.drop("doc_id").withColumnRenamed("uid", "set").join(lows.select("set"), "set", "left_semi")
+    reps = written(reps, "reps")
 
     star = reps.select("set", "typical", F.posexplode("stars").alias("k", "least"))
     centre = star.groupBy("k", "least").agg(F.max(F.struct("typical", "set"))["set"].alias("a"), F.count("*").alias("c"))
@@ -372,12 +426,8 @@ def near_sets(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (80, 100
     rooted = reps.select("set", "rare").join(known, F.col("set") == F.col("node"), "left")
     rooted = rooted.select("set", "rare", F.coalesce("root", "set").alias("root"))
     posts = rooted.mapInPandas(_postings, "token long, `set` long, root long")
-    group = W.Window.partitionBy("token")
-    live = posts.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group), "c": F.count("*").over(group)})
-    live = written(live.where("low < high").select("token", "set", "root", "c"), "live")
-    blocks = live.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("side", F.pmod(F.hash("set"), "blocks"))
-    blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    blocks = blocks.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "blocks", "c")
+    live = _live(posts)
+    blocks = _blocks(live)
     narrow = reps.select("set", "n", "bits").mapInPandas(_narrow, "`set` long, n long, bits binary")
     order = ["token", "i", "j"]
     sorted_ = blocks.join(narrow, "set").repartition(width(spark), *order).sortWithinPartitions(*order)
@@ -385,11 +435,11 @@ def near_sets(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (80, 100
     second = _links(pairs, reps, docs, words, parts)
 
     roots = written(components(first.union(second)), "roots")
-    named = lows.join(roots, F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("root", "set").alias("root"))
+    named = lows.join(roots, F.col("set") == F.col("node"), "left").select("k1", "k2", "low", F.coalesce("root", "set").alias("root"))
     names = named.groupBy("root").agg(F.min("low").alias("low"))
-    named = named.select("set", "root").join(names, "root").select("set", "low")
-    out = rows.where("n > 0").select("doc_id", "text_hash", "n", "set").join(named, "set", "left")
-    out = out.unionByName(rows.where("n = 0").select("doc_id", "text_hash", "n", "set"), allowMissingColumns=True)
+    named = named.select("k1", "k2", "root").join(names, "root").select("k1", "k2", "low")
+    out = rows.where("n > 0").select("doc_id", "text_hash", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
+    out = out.unionByName(rows.where("n = 0").select("doc_id", "text_hash", "n", "k1", "k2"), allowMissingColumns=True)
     discard(reps, live, known, first, second)
     mine = (F.col("low.text_hash") == F.col("text_hash")) & F.col("low.doc_id").eqNullSafe(F.col("doc_id"))
     return out.select(

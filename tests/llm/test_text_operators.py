@@ -353,3 +353,28 @@ def test_crc_folds(spark):
     df = spark.createDataFrame([(k,) for k in (0, 7, 123456, -5)] + [(None,)], "doc_id long")
     for r in df.select("doc_id", fold(F.col("doc_id"), 5).alias("f")).collect():
         assert r.f == (None if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 5)
+
+
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    """The Thue-Morse word and its complement agree in every polynomial modulo a power of two."""
+    from tesserae.llm.shingles import shingle_sets
+
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    assert len(set(np.concatenate(list(shingle_sets(iter([one, two]), 5))))) == 2
+    got = ngram_join.near_sets(spark.createDataFrame([(1, one), (2, two), (3, two)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_shingles_of_very_long_texts():
+    """Texts over a block, and words of every length, give the sets that single words give."""
+    from tesserae.llm.shingles import shingle_sets, wide_sets
+
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcé"), n)) for n in (1, 3, 7, 8, 9, 16, 17, 63, 64, 65, 200) for _ in range(30)]
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 4, 5, 300, 60_000)]
+    assert len(texts[-1]) > 1 << 21
+    for text, own, wide in zip(texts, shingle_sets(iter(texts), 5), wide_sets(iter(texts), 5), strict=True):
+        w = text.split()
+        assert len(own) == len({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+        assert (wide[0] == own).all() and len(np.unique(wide[1])) == len(own)
