@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from tesserae.llm.common import small_batches, width, written
 from tesserae.llm.hilbert import hilbert_key
 
 BUCKETS, DIMS, BITS = 256, 4, 12
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 
 #: Words of these characters alone need no Unicode normalisation; others take the tokenizer's own full path.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -30,22 +31,45 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)}
 
 
+#: The steps before the model of a tokenizer whose plain words may be encoded one by one.
+_STEPS = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pre_tokenizer": ["Split", "ByteLevel"],
+    "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+}
+
+
+def _drops_blanks(tokenizer) -> bool:
+    """Whether the tokenizer prepares text as ``_STEPS`` says, so that it never joins across a blank."""
+    own = json.loads(tokenizer.to_str())
+    before, cuts = (own[x] or {} for x in ("normalizer", "pre_tokenizer"))
+    cuts = cuts.get("pretokenizers", [])
+    kinds = [x["type"] for x in before.get("normalizers", [])], [x["type"] for x in cuts]
+    if kinds != (_STEPS["normalizer"], _STEPS["pre_tokenizer"]) or own["post_processor"]:
+        return False
+    plain = cuts[0]["pattern"].get("Regex") == _STEPS["split"] and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed"
+    plain &= not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+    return plain and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or x["normalized"] for x in own["added_tokens"])
+
+
 class _Words(dict):
     """Token ids of each blank-separated piece of text, as little-endian bytes.
 
-    The tokenizer drops white space and never joins across a blank, so a text's ids are those of its pieces.
-    The cache is emptied when it is full.
+    Where the tokenizer drops white space and never joins across a blank, a text's ids are those of its pieces;
+    with any other tokenizer every text is encoded whole. Special tokens that stand in a text keep their ids, as
+    the tokenizer has them. The cache is emptied when it is full.
     """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-        self.tokenizer.encode_special_tokens = True
+        self.by_piece = _drops_blanks(self.tokenizer)
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def _ids(self, word: str) -> list[int]:
-        if len(word) > 100 or not _PLAIN.fullmatch(word):
+        if len(word) > 100 or not _PLAIN.fullmatch(word) or any(x in word for x in self.special):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         parts = (x.encode().decode("latin-1").translate(self.letters) for x in _PARTS.findall(word.lower()))
         return [token.id for x in parts for token in self.model.tokenize(x)]
@@ -58,6 +82,12 @@ class _Words(dict):
             self[word] = ids
         return ids
 
+    def of(self, text: str) -> bytes:
+        """Ids of a whole text."""
+        if self.by_piece:
+            return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
 
 _OPEN: dict[tuple[str, str], _Words] = {}
 
@@ -82,8 +112,7 @@ def _tokenise(path: str, dtype: str, end_id: int):
         words, end = _words(path, dtype), np.array([end_id], dtype).tobytes()
         ids, counts = [], np.zeros((len(texts), BUCKETS))
         for k, text in enumerate(texts):
-            pieces = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-            own = b"".join(map(words.__getitem__, pieces)) + end
+            own = words.of(text or "") + end
             ids.append(own)
             spread = np.frombuffer(own, dtype).astype(np.uint32) * np.uint32(2654435761) >> np.uint32(24)
             counts[k] = np.bincount(spread, minlength=BUCKETS)
@@ -131,7 +160,8 @@ def pack(
     the very last sequence can be short. Returns one row for each piece: doc_id, start, length, token_ids
     (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
-    Null or empty text: one token, ``end_id``. Repeated ids or rows: every row is packed on its own. Null ids
+    Ids are those of the tokenizer as its file has it: special tokens that stand in a text count as such. Texts of
+    any length are encoded whole. Null or empty text: one token, ``end_id``. Repeated ids or rows: every row is packed on its own. Null ids
     stay null. An empty table gives no rows. Other columns are not read.
 
     Tokens are written once and shuffled once; places come from a sorted table of a few numbers a document, and
