@@ -65,7 +65,9 @@ class LanguageCodes:
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Weighted logistic loss of every codeword for every row of features."""
-        margins = x @ self.weights + self.bias
+        return self.decoded(x @ self.weights + self.bias)
+
+    def decoded(self, margins: np.ndarray) -> np.ndarray:
         return np.stack([np.logaddexp(0, -margins * word) @ self.bit_weight for word in self.code], axis=1)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,32 +81,53 @@ class LanguageCodes:
         return p.argmax(axis=1), two[:, 1], two[:, 1] - two[:, 0]
 
 
-def _fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 60) -> LanguageCodes:
+class Rows:
+    """Features of many texts, kept as the places and values that are not zero."""
+
+    def __init__(self, at: list[np.ndarray], value: list[np.ndarray]):
+        self.at, self.value = at, value
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def parts(self, rows: np.ndarray, most: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A few rows at a time: their numbers and their dense features."""
+        for lo in range(0, len(rows), most):
+            own = rows[lo : lo + most]
+            x = np.zeros((len(own), SIZE), np.float32)
+            for k, row in enumerate(own):
+                x[k, self.at[row]] = self.value[row]
+            yield own, x
+
+
+def _fit(x: Rows, y: np.ndarray, languages: list[str], steps: int = 60) -> LanguageCodes:
     """Fit one logistic classifier for each bit by Adam; a fifth of the rows weigh the bits and set the heat."""
     code = codewords(len(languages))
-    tune, rest = slice(0, len(x) // 5), slice(len(x) // 5, None)  # views: the rows come in random order
+    tune, rest = np.arange(len(x) // 5), np.arange(len(x) // 5, len(x))  # the rows come in random order
     if len(x) < 100:
-        tune = rest = slice(None)
-    target = (code[y] + 1) / 2
+        tune = rest = np.arange(len(x))
+    target = ((code[y] + 1) / 2).astype(np.float32)
     share = np.bincount(y[rest], minlength=len(languages)).astype(float)
-    weight = (1 / np.maximum(share, 1))[y[rest]]
-    weight = (weight / weight.mean())[:, None].astype(np.float32)
-    w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
+    weight = (1 / np.maximum(share, 1))[y]
+    weight = (weight / weight[rest].mean() / len(rest))[:, None].astype(np.float32)
+    w, b = np.zeros((SIZE, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
-    xr, tr = x[rest], target[rest].astype(np.float32)
     for t in range(1, steps + 1):
-        err = ((1 / (1 + np.exp(-np.clip(xr @ w + b, -30, 30))) - tr) * weight / len(xr)).astype(np.float32)
-        grads = xr.T @ err + 1e-6 * w, err.sum(axis=0)
+        grads = [1e-6 * w, np.zeros_like(b)]
+        for own, part in x.parts(rest):
+            err = (1 / (1 + np.exp(-np.clip(part @ w + b, -30, 30))) - target[own]) * weight[own]
+            grads[0] += part.T @ err
+            grads[1] += err.sum(axis=0)
         for k, (p, g) in enumerate(zip((w, b), grads, strict=True)):
             m, v = state[2 * k], state[2 * k + 1]
             m += 0.1 * (g - m)
             v += 0.05 * (g * g - v)
             p -= 1.5 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.95**t)) + 1e-8) * (0.98**t)
-    right = ((x[tune] @ w + b > 0) == (target[tune] > 0.5)).mean(axis=0)
-    miss = np.clip(1 - right, 0.002, 0.45)
+    margins = np.concatenate([part @ w + b for _, part in x.parts(tune)])
+    miss = np.clip(1 - ((margins > 0) == (target[tune] > 0.5)).mean(axis=0), 0.002, 0.45)
     bit_weight = np.log((1 - miss) / miss)
     model = LanguageCodes(languages, code, w, b, bit_weight / bit_weight.sum(), 1.0)
-    loss = model.losses(x[tune])
+    loss = model.decoded(margins)
     heats = [0.5, 1, 2, 4, 8, 16]
     likely = [(-h * loss)[np.arange(len(loss)), y[tune]] - np.logaddexp.reduce(-h * loss, axis=1) for h in heats]
     model.heat = heats[int(np.argmax([p.mean() for p in likely]))]
@@ -117,9 +140,10 @@ def _sparse(languages: list[str]):
             rows = [features(t or "") for t in batch["text"]]
             yield pd.DataFrame(
                 {
+                    "draw": batch["draw"],
                     "y": [languages.index(x) for x in batch["lang"]],
                     "at": [np.flatnonzero(x).astype("<u2").tobytes() for x in rows],
-                    "value": [x[x > 0].astype("<f4").tobytes() for x in rows],
+                    "value": [x[x > 0].astype("<f2").tobytes() for x in rows],
                 }
             )
 
@@ -127,10 +151,12 @@ def _sparse(languages: list[str]):
 
 
 def train(docs: DataFrame, usable: Column | bool = True, max_rows: int = 4000, most_languages: int = 256) -> LanguageCodes | None:
-    """Fit on about ``max_rows`` labelled rows, as many for each language, chosen by hash of the id.
+    """Fit on ``max_rows`` labelled rows at most, as many for each language, chosen by hash of id and text.
 
-    Rows count as labelled where ``lang`` is not null and ``usable`` holds. Executors turn whole texts into
-    sparse features; the driver receives those of the bounded sample. None where nothing is labelled.
+    Rows count as labelled where ``lang`` is not null and ``usable`` holds. The ``most_languages`` languages with
+    most rows are learned. Executors turn whole texts into sparse features, of 32 KB a row at most; the driver
+    receives those of the sample, which Spark cuts to ``max_rows`` first, however often an id or a row repeats.
+    None where nothing is labelled.
     """
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.lit(usable))
@@ -139,15 +165,14 @@ def train(docs: DataFrame, usable: Column | bool = True, max_rows: int = 4000, m
         return None
     each = max(1, max_rows // len(sizes))
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))))
-    chosen = labelled.where(hash_sample("doc_id", share[F.col("lang")])).select("lang", "text")
+    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    chosen = labelled.withColumn("draw", draw).where(hash_sample("draw", share[F.col("lang")])).select("lang", "text", "draw")
     languages = sorted(sizes)
-    got = chosen.mapInPandas(_sparse(languages), "y int, at binary, value binary").toPandas()
-    x, order = np.zeros((len(got), SIZE), np.float32), np.random.default_rng(3).permutation(len(got))
-    for k, row in enumerate(order):
-        x[k, np.frombuffer(got["at"].iloc[row], "<u2")] = np.frombuffer(got["value"].iloc[row], "<f4")
-    y = got["y"].to_numpy()[order]
-    del got
-    return _fit(x, y, languages)
+    got = chosen.mapInPandas(_sparse(languages), "draw long, y int, at binary, value binary")
+    got = got.orderBy(F.xxhash64("draw", F.lit(1)), "y").limit(max_rows).drop("draw").toPandas()
+    order = np.random.default_rng(3).permutation(len(got))
+    x = Rows(*([np.frombuffer(got[c].iloc[k], kind) for k in order] for c, kind in (("at", "<u2"), ("value", "<f2"))))
+    return _fit(x, got["y"].to_numpy()[order], languages)
 
 
 def labeller(model: LanguageCodes | None, least_lead: float = 0.2):
