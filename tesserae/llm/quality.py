@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import operator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from tesserae.llm.common import hash_sample, small_batches
 MEASURES = ["words", "word_length", "distinct", "same_as_next", "upper", "digits", "marks", "odd_words", "pipes", "starts_upper", "stop", "accents"]
 BINS = 8
 SLOTS = 3 * len(MEASURES) + 2
+PART, CELLS = 1 << 15, 1 << 17  # lines that are measured, and padded places of chains that are followed, at once
 
 
 def _measure(line: str) -> tuple[float, ...]:
@@ -48,17 +50,31 @@ def _measure(line: str) -> tuple[float, ...]:
 def line_table(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Slot numbers (lines x SLOTS) and lengths of the lines of a whole text. Every text has a line at least."""
     lines = text.split("\n")
-    seen: dict[str, tuple[float, ...]] = {}
-    own = np.array([seen.get(x) or seen.setdefault(x, _measure(x)) for x in lines])
-    bins = np.minimum((own * BINS).astype(int), BINS - 1)
-    edge = np.full((1, len(MEASURES)), BINS)  # no neighbour there
-    around = np.hstack([bins, np.vstack([edge, bins[:-1]]), np.vstack([bins[1:], edge])])
-    again = np.array([[x == y for x, y in zip(lines, lines[1:], strict=False)] + [False]]).T
-    before = np.vstack([[[False]], again[:-1]])
-    slots = np.hstack([around, again, before]) + np.arange(SLOTS) * (BINS + 1)
+    bins = np.full((len(lines) + 2, len(MEASURES)), BINS, np.int16)  # the rows at both ends: no neighbour there
+    for lo in range(0, len(lines), PART):
+        part = lines[lo : lo + PART]
+        seen = {x: _measure(x) for x in dict.fromkeys(part)}
+        own = np.array([seen[x] for x in part])
+        bins[lo + 1 : lo + 1 + len(part)] = np.minimum((own * BINS).astype(np.int16), BINS - 1)
+    again = np.fromiter((x == y for x, y in zip(lines, lines[1:], strict=False)), bool, len(lines) - 1)
+    around = [bins[1:-1], bins[:-2], bins[2:], np.r_[again, False][:, None], np.r_[False, again][:, None]]
+    slots = np.hstack(around).astype(np.int16)
+    slots += (np.arange(SLOTS) * (BINS + 1)).astype(np.int16)
     return slots, np.array([len(x) + 1 for x in lines], float)
 
 
+def _alike(lengths: list[int], most: int = 256) -> Iterator[list[int]]:
+    """Numbers of chains of like length, ``most`` at a time and no more than CELLS places when padded."""
+    part: list[int] = []
+    for k in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if part and (len(part) == most or (len(part) + 1) * lengths[k] > CELLS):
+            yield part
+            part = []
+        part.append(k)
+    if part:
+        yield part
+
+
 @dataclass
 class LineField:
     """Slot weights (good against bad), transition scores, and the map from marginals to a document's score."""
@@ -68,20 +84,25 @@ class LineField:
     slope: np.ndarray
     level: float
 
+    def unary(self, table: np.ndarray) -> np.ndarray:
+        """Good against bad for each line by itself."""
+        return np.concatenate([self.weights[table[lo : lo + PART]].sum(axis=1) for lo in range(0, len(table), PART)])
+
     def marginals(self, tables: list[np.ndarray]) -> list[np.ndarray]:
-        """P(line is good) by forward-backward, documents of like length together."""
-        order = sorted(range(len(tables)), key=lambda k: len(tables[k]))
-        out: list[np.ndarray] = [np.zeros(0)] * len(tables)
-        for lo in range(0, len(order), 256):
-            part = order[lo : lo + 256]
-            good, _, _ = _chain([self.weights[tables[k]].sum(axis=1) for k in part], self.turn)
+        """P(line is good) by forward-backward."""
+        return self.chained([self.unary(x) for x in tables])
+
+    def chained(self, unary: list[np.ndarray]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0)] * len(unary)
+        for part in _alike(list(map(len, unary))):
+            good, _, _ = _chain([unary[k] for k in part], self.turn)
             for k, p in zip(part, good, strict=True):
-                out[k] = p
+                out[k] = p.copy()
         return out
 
-    def scores(self, tables: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+    def scores(self, unary: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
         """The document's score: length-weighted marginals, through a fitted logistic curve."""
-        return 1 / (1 + np.exp(-np.clip(aggregate(self.marginals(tables), sizes) @ self.slope + self.level, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(aggregate(self.chained(unary), sizes) @ self.slope + self.level, -30, 30)))
 
 
 def aggregate(marginals: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
@@ -130,13 +151,12 @@ def _fit_field(tables: list[np.ndarray], labels: list[np.ndarray], heavy: list[n
     want = np.zeros((2, 2))
     for x in labels:
         np.add.at(want, (x[:-1], x[1:]), 1.0)
-    order = sorted(range(len(tables)), key=lambda k: len(tables[k]))
+    together = list(_alike(list(map(len, tables))))
     starts = np.concatenate([[0], np.cumsum([len(x) for x in tables])])
     total = len(y)
     for t in range(1, steps + 1):
         unary, p, pairs = weights[flat].sum(axis=1), np.zeros(total), np.zeros((2, 2))
-        for lo in range(0, len(order), 256):
-            part = order[lo : lo + 256]
+        for part in together:
             good, own, _ = _chain([unary[starts[k] : starts[k + 1]] for k in part], turn)
             pairs += own
             for k, x in zip(part, good, strict=True):
@@ -185,10 +205,10 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 3) -> LineField:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: int = 20_000) -> LineField | None:
-    """Fit on about ``max_rows`` labelled documents chosen by hash of the id, half of them bad where possible.
+    """Fit on ``max_rows`` labelled documents at most, chosen by hash, half of them bad where possible.
 
     The sample leaves out texts over ``max_chars``, which bounds what the driver receives to the product of
-    both. Documents come in through ``doc_id``; rows of ``labels`` without a match, nulls and repeats do nothing.
+    both, however often an id repeats. Documents come in through ``doc_id``; rows of ``labels`` without a match, nulls and repeats do nothing.
     None where there is no label of one of the two kinds.
     """
     known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -197,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: i
     share = F.create_map(*(F.lit(x) for y in (0, 1) for x in (y, min(1.0, max_rows / 2 / max(sizes.get(y, 0), 1)))))
     chosen = light.where(hash_sample("doc_id", share[F.col("label").cast("int")])).distinct()  # about max_rows rows
     rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("text", "label").toPandas()
+    got = rows.orderBy(F.xxhash64("doc_id", "text"), "label").limit(max_rows).select("text", "label").toPandas()
     y = got["label"].to_numpy()
     if len(set(y)) < 2:
         return None
@@ -214,16 +234,21 @@ def _with_prior(field: LineField, sampled: float, sizes: dict[int, int]) -> Line
 def scorer(field: LineField | None):
     """A column function of a text: its score from 0 to 1.
 
-    Null and empty texts are one empty line and are scored as such. Without a field every score is 0.5.
+    Null and empty texts are one empty line and are scored as such. Long texts are measured a part at a time; what
+    stays of a line is 16 bytes, and a chain takes about 100 bytes a line while it is followed. Without a field every score is 0.5.
     """
 
     @F.pandas_udf("double")
     def own(texts: pd.Series) -> pd.Series:
-        out = np.full(len(texts), 0.5)
-        texts = [t or "" for t in texts]
-        for lo in range(0, len(texts) if field else 0, 1024):
-            tables, sizes = zip(*map(line_table, texts[lo : lo + 1024]), strict=True)
-            out[lo : lo + 1024] = field.scores(list(tables), list(sizes))
+        out, unary, sizes, lines = np.full(len(texts), 0.5), [], [], 0
+        for k, text in enumerate(texts if field else ()):
+            table, size = line_table(text or "")
+            unary.append(field.unary(table))
+            sizes.append(size)
+            lines += len(size)
+            if len(unary) == 1024 or lines > 1 << 18 or k == len(texts) - 1:
+                out[k + 1 - len(unary) : k + 1] = field.scores(unary, sizes)
+                unary, sizes, lines = [], [], 0
         return pd.Series(out)
 
     return own.asNondeterministic()  # evaluated once, not again for a filter
