@@ -29,7 +29,6 @@ def test_packing_round_trip(docs, none):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENS)
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for r in docs.collect():
         want[r.doc_id, tuple(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [1])] += 1
@@ -59,12 +58,25 @@ def test_packing_odd_words_as_the_tokenizer():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENS)
-    tokenizer.encode_special_tokens = True
     words = packing._Words(TOKENS, "<u2")
-    for w in ["it's", "Don'T", "a1b22", "ÉTÉ!!", "ﬁ", "é", "x" * 300, "<|endoftext|>", "中文", "ª×÷", "\x1cA\x1c", "", "ß", "İ"]:
+    for w in ["it's", "Don'T", "a1b22", "ÉTÉ!!", "ﬁ", "é", "x" * 300, "<|endoftext|>", "a<|endoftext|>b<|ENDOFTEXT|>", "中文", "ª×÷", "\x1cA\x1c", "", "ß", "İ"]:
         assert np.frombuffer(words[w], "<u2").tolist() == tokenizer.encode(w, add_special_tokens=False).ids, w
 
 
+def test_packing_with_special_tokens_and_other_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["hello <|endoftext|> world", "<|startoftext|>Don't\u00a0stop  here<|endoftext|>", "tab\tline\nend ", "w" * 300_000 + " " + "ab " * 200_000]
+    for path in (TOKENS, TOKENS.replace("word_bpe_49k", "byte_bpe_50k")):
+        plain = Tokenizer.from_file(path)
+        got = packing._Words(path, "<u2")
+        assert got.by_piece == (path == TOKENS)
+        for text in texts:
+            assert np.frombuffer(got.of(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    rows = packing.pack(spark.createDataFrame([(7, texts[0])], "doc_id long, text string"), TOKENS).collect()
+    assert [np.frombuffer(r.token_ids, "<u4").tolist() for r in rows] == [Tokenizer.from_file(TOKENS).encode(texts[0], add_special_tokens=False).ids + [1]]
+
+
 def test_sharding(docs, none):
     names = [f"s{k}" for k in range(7)]
     table = sharding.lookup_table(names, 101)
@@ -126,6 +138,42 @@ def test_line_field(spark, docs, none):
     assert quality.train(none, known) is None
 
 
+def test_line_field_with_very_many_lines():
+    """A text of many lines beside short ones: bounded padding, and the marginals it has by itself."""
+    rng = np.random.default_rng(2)
+    field = quality.LineField(rng.normal(0, 0.3, quality.SLOTS * (quality.BINS + 1)), rng.normal(0, 0.5, (2, 2)), np.array([0.0, 4.0, 0.0]), 0.0)
+    texts = ["a short text\nof two lines"] * 255 + ["x\ny y\n" * 100_000]
+    tables = [quality.line_table(t)[0] for t in texts]
+    assert max(len(p) * max(len(tables[k]) for k in p) for p in quality._alike(list(map(len, tables))) if len(p) > 1) <= quality.CELLS
+    assert sorted(k for p in quality._alike(list(map(len, tables))) for k in p) == list(range(256))
+    both = field.marginals(tables)
+    assert np.allclose(both[0], field.marginals(tables[:1])[0]) and len(both[-1]) == 200_001
+    assert np.isfinite(both[-1]).all()
+
+
+def test_samples_are_bounded(spark):
+    """Null ids and one id in every row: the driver receives no more rows than the stated bound."""
+    rows = [(None if k % 2 else 5, f"some words {k % 7} and so on", ["en", "fr"][k % 2]) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    real = langid._fit
+    langid._fit = lambda x, y, languages: seen.append(len(x)) or real(x, y, languages, steps=2)
+    try:
+        assert langid.train(df, max_rows=60) is not None
+    finally:
+        langid._fit = real
+    assert 0 < seen[0] <= 60
+    labels = spark.createDataFrame([(5, 1), (6, 0)], "doc_id long, label int")
+    fit = quality.fit
+    quality.fit = lambda texts, y: seen.append(len(texts)) or fit(texts, y, rounds=1)
+    try:
+        more = df.select("doc_id", "text").union(spark.createDataFrame([(6, "bad")] * 50, "doc_id long, text string"))
+        quality.train(more, labels, max_rows=40)
+    finally:
+        quality.fit = fit
+    assert all(n <= 60 for n in seen)
+
+
 def test_chain_marginals_by_enumeration():
     rng = np.random.default_rng(2)
     unary, turn = [rng.normal(size=n) for n in (1, 3, 4)], rng.normal(size=(2, 2))
