@@ -54,7 +54,7 @@ def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the rows with the k largest inner products, ties at the end included, none below ``least``."""
-    s = q @ x.T
+    s = np.round(q @ x.T, 12)  # equal vectors give equal scores wherever they stand in a matrix
     for r in range(len(q)):
         own = np.flatnonzero(s[r] >= least[r])
         if len(own) > k:
@@ -151,15 +151,17 @@ def _finish(k: int):
 
 def search(
     vectors: DataFrame, is_query, k: int = 20, curves: int = 4, block: int = 1024, seed: int = 17,
-    id_col: str = "vec_id", vec_col: str = "embedding",
+    id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = True,
 ) -> DataFrame:
     """The ``k`` rows of the largest inner product with each row for which ``is_query`` (a condition on vec_id) holds.
 
     Vectors are projected, shifted and ordered along several Hilbert curves by a range shuffle. A query reads the
     block that it lies in and both neighbouring blocks on every curve; these windows merge into its first k rows
-    and so into a least score. An exact check follows on the first curve: blocks whose centre and radius leave
-    room for a better row are read as well, so results are exact; where data have structure, few blocks are left,
-    and where they have none (unrelated directions), nearly all are.
+    and so into a least score. With ``exact`` a check follows on the first curve: blocks whose centre and radius
+    leave room for a better row are read as well, so results are exact. Where data have structure, few blocks are
+    left; where they have none (unrelated directions), nearly all are, and the cost is queries times rows. Without
+    it the windows alone answer, in time that grows with rows and queries: measure their recall on the data at hand.
+    Scores are sums of products in the order of the components, in doubles.
 
     Returns query_id, rank, vec_id, score, nearest first, ties to the smaller id. Null, zero or non-finite vectors
     take no part; vectors of another length are no candidates; repeated ids are rows of their own; a null id is a
@@ -188,6 +190,22 @@ def search(
     windows = whole.select(*spot, "uid", "vec_id", "v").groupBy(*spot).cogroup(asks.groupBy(*spot)).applyInPandas(_windows(k), FOUND)
     first = written(_ranked(windows, k).drop("rank"), "windows")
 
+    found, tables = first.select("query_uid", "uid", "vec_id", "score"), [keys, line, whole, first]
+    if exact:
+        more, read = _rest(whole, first, k, block, parts)
+        found, tables = found.union(more), [*tables, *read]
+    best = written(_ranked(found, k).select("query_uid", "uid", "vec_id"), "best")
+    asked = rows.where("asks").select(F.col("uid").alias("query_uid"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    pairs = best.join(rows.select("uid", "v"), "uid").join(asked, "query_uid")
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    scored = written(pairs.select("query_uid", "query_id", "uid", "vec_id", product.alias("score")), "found")
+    out = _ranked(scored, k, "query_id").select("query_id", "rank", "vec_id", "score")
+    discard(*tables, best)
+    return out
+
+
+def _rest(whole: DataFrame, first: DataFrame, k: int, block: int, parts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What blocks of the first curve add to ``first``, and the tables that it reads."""
     flat = whole.where("curve = 0")
     blocks = written(
         flat.groupBy("dims", "block").applyInPandas(
@@ -212,15 +230,11 @@ def search(
     reach = spread.join(pages, ["dims", "page"]).mapInPandas(_reach, "dims int, chunk long, block long")
     pairs = reach.repartition(parts, "dims", "block").join(chunks, ["dims", "chunk"]).join(blocks, ["dims", "block"])
     more = pairs.select("dims", "q", "q_uids", "least", "x", "uids", "ids").mapInPandas(_finish(k), FOUND)
-    both = first.select("query_uid", "uid", "vec_id", "score").union(more)
-    names = rows.where("asks").select(F.col("uid").alias("query_uid"), F.col("vec_id").alias("query_id"))
-    out = written(_ranked(both, k), "found").join(names, "query_uid").select("query_id", "rank", "vec_id", "score")
-    discard(keys, line, whole, first, blocks, chunks)
-    return out
+    return more, [blocks, chunks]
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
+def _ranked(found: DataFrame, k: int, *keep: str) -> DataFrame:
     """Each query's best k rows; a row found more than once counts once."""
-    once = found.groupBy("query_uid", "uid").agg(F.max("score").alias("score"), F.first("vec_id").alias("vec_id"))
+    once = found.groupBy("query_uid", "uid", *keep).agg(F.max("score").alias("score"), F.first("vec_id").alias("vec_id"))
     order = W.Window.partitionBy("query_uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "uid")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
