@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a folder of this process where it is unset (local tests)."""
+    """The folder named in ``spark.checkpoint.dir``; in local mode, where it may be unset, one of this process."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + os.path.join(tempfile.gettempdir(), f"tesserae-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(place)
         spark.conf.set("spark.checkpoint.dir", place)
