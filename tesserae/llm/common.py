@@ -23,10 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB, unless the session sets them: a Python worker then holds little more than that of texts."""
+    """Arrow batches of 2 MB, unless the session sets them: a Python worker then holds little more than that of texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(8 << 20))
+        spark.conf.set(name, str(2 << 20))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ class _Slots(dict):
     """The hashed place of each word; emptied when it is full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 60_000:
             self.clear()
         self[word] = slot = zlib.crc32(word.encode("utf-8", "replace")) % SIZE
         return slot

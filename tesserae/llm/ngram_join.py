@@ -410,6 +410,7 @@ def near_sets(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (80, 100
     rows = docs.select("doc_id", "text_hash", _describe(words, common, parts)("text").alias("own"))
     rows = rows.select("doc_id", "text_hash", "own.*").withColumn("uid", F.monotonically_increasing_id())
     rows = written(rows, "documents")
+    common.unpersist()  # workers drop their copies
     lows = rows.where("n > 0").groupBy("k1", "k2").agg(
         F.min("uid").alias("set"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("low")
     )

@@ -16,7 +16,7 @@ from tesserae.llm.common import small_batches, width, written
 from tesserae.llm.hilbert import hilbert_key
 
 BUCKETS, DIMS, BITS = 256, 4, 12
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 
 #: Words of these characters alone need no Unicode normalisation; others take the tokenizer's own full path.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -41,15 +41,15 @@ _STEPS = {
 
 def _drops_blanks(tokenizer) -> bool:
     """Whether the tokenizer prepares text as ``_STEPS`` says, so that it never joins across a blank."""
-    own = json.loads(tokenizer.to_str())
-    before, cuts = (own[x] or {} for x in ("normalizer", "pre_tokenizer"))
+    before, cuts = (json.loads(x.__getstate__()) if x else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
     cuts = cuts.get("pretokenizers", [])
     kinds = [x["type"] for x in before.get("normalizers", [])], [x["type"] for x in cuts]
-    if kinds != (_STEPS["normalizer"], _STEPS["pre_tokenizer"]) or own["post_processor"]:
+    if kinds != (_STEPS["normalizer"], _STEPS["pre_tokenizer"]) or tokenizer.post_processor:
         return False
     plain = cuts[0]["pattern"].get("Regex") == _STEPS["split"] and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed"
     plain &= not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
-    return plain and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or x["normalized"] for x in own["added_tokens"])
+    added = tokenizer.get_added_tokens_decoder().values()
+    return plain and not any(re.search(r"\s", x.content) or x.lstrip or x.rstrip or x.normalized for x in added)
 
 
 class _Words(dict):
