@@ -93,8 +93,8 @@ def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def width_of(n: int) -> int:
-    """Places of the bitmap of a set of n: a power of two, about four times n."""
-    return min(max(NARROW, 1 << int(4 * n - 1).bit_length()), WIDEST)
+    """Places of the bitmap of a set of n: a power of two, twice n at least."""
+    return min(max(NARROW, 1 << int(2 * n - 1).bit_length()), WIDEST)
 
 
 def _folded(raws: list[bytes], size: int) -> np.ndarray:
@@ -323,24 +323,35 @@ def _exact(parts: tuple[int, int]):
     return run
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """Keys, written, and marked for a broadcast if they are few enough."""
+    keys = written(keys, "keys")
+    return F.broadcast(keys) if keys.count() <= SMALL else keys
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
+
+
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, parts: tuple[int, int]) -> DataFrame:
     """The pairs that link: bitmaps first, then whole sets made again from the texts of the documents concerned."""
-    side = lambda x: reps.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    pairs = written(pairs, "candidates")
+    ends = reps.join(_few(_named(pairs)), "set", "left_semi").select("set", "n", "bits", "k1", "k2", "text_hash")
+    ends = written(ends, "ends")
+    side = lambda x: ends.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(
         f"{parts[0]} * greatest(n_a, n_b) <= {parts[1]} * least(n_a, n_b)"
     )
     near = written(near.mapInPandas(_bounded(parts), "a long, b long"), "pairs")
-    wanted = near.select(F.col("a").alias("set")).union(near.select(F.col("b").alias("set"))).distinct()
-    wanted = written(reps.select("set", "k1", "k2", "text_hash").join(wanted, "set"), "wanted")
-    hashes = wanted.select("text_hash").distinct()
-    hashes = F.broadcast(hashes) if wanted.count() <= SMALL else hashes
+    wanted = written(ends.select("set", "k1", "k2", "text_hash").join(_few(_named(near)), "set", "left_semi"), "wanted")
+    hashes = _few(wanted.select("text_hash").distinct())
     sets = docs.join(hashes, "text_hash", "left_semi").select("text").mapInPandas(_sets(n), "k1 long, k2 long, `all` binary")
     sets = sets.join(wanted.select("set", "k1", "k2"), ["k1", "k2"]).drop("k1", "k2")
     sets = written(sets.dropDuplicates(["set"]), "sets")
     side = lambda x: sets.select(F.col("set").alias(x), F.col("all").alias(f"all_{x}"))
     found = near.join(side("a"), "a").join(side("b"), "b").mapInPandas(_exact(parts), "a long, b long")
     found = written(found, "links")
-    discard(near, wanted, sets)
+    discard(pairs, ends, near, wanted, sets)
     return found
 
 
@@ -351,16 +362,13 @@ def _live(posts: DataFrame) -> DataFrame:
     by number of sets and two hashes; the group of the smallest token stays.
     """
     ends = posts.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    tokens = written(ends.where("low < high").select("token"), "tokens")
-    some = F.broadcast(tokens) if tokens.count() <= SMALL else tokens
-    live = written(posts.join(some, "token"), "postings")
+    live = written(posts.join(_few(ends.where("low < high").select("token")), "token"), "postings")
     same = live.groupBy("token").agg(
         F.count("*").alias("c"), F.bit_xor(F.xxhash64("set")).alias("h1"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("h2")
     )
-    first = written(same.groupBy("c", "h1", "h2").agg(F.min("token").alias("token")).select("token"), "groups")
-    some = F.broadcast(first) if first.count() <= SMALL else first
-    out = written(live.join(some, "token"), "live")
-    discard(tokens, live, first)
+    first = same.groupBy("c", "h1", "h2").agg(F.min("token").alias("token")).select("token")
+    out = written(live.join(_few(first), "token"), "live")
+    discard(live)
     return out
 
 
@@ -429,7 +437,8 @@ def near_sets(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (80, 100
     posts = rooted.mapInPandas(_postings, "token long, `set` long, root long")
     live = _live(posts)
     blocks = _blocks(live)
-    narrow = reps.select("set", "n", "bits").mapInPandas(_narrow, "`set` long, n long, bits binary")
+    own = reps.join(_few(live.select("set").distinct()), "set", "left_semi")
+    narrow = own.select("set", "n", "bits").mapInPandas(_narrow, "`set` long, n long, bits binary")
     order = ["token", "i", "j"]
     sorted_ = blocks.join(narrow, "set").repartition(width(spark), *order).sortWithinPartitions(*order)
     pairs = sorted_.mapInPandas(_tree_join(parts), "a long, b long").distinct()
