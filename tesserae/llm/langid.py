@@ -90,7 +90,7 @@ class Rows:
     def __len__(self) -> int:
         return len(self.at)
 
-    def parts(self, rows: np.ndarray, most: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def parts(self, rows: np.ndarray, most: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A few rows at a time: their numbers and their dense features."""
         for lo in range(0, len(rows), most):
             own = rows[lo : lo + most]
@@ -187,8 +187,8 @@ def labeller(model: LanguageCodes | None, least_lead: float = 0.2):
         has = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in texts], bool)
         best, score, lead = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
         own = np.flatnonzero(has) if model else np.array([], int)
-        for lo in range(0, len(own), 256):
-            part = own[lo : lo + 256]
+        for lo in range(0, len(own), 64):
+            part = own[lo : lo + 64]
             k, p, gap = model.predict(np.stack([features(texts.iloc[j]) for j in part]))
             best[part], score[part], lead[part] = np.array(model.languages, object)[k], p, gap
         return pd.DataFrame({"lang_pred": best, "score": score, "ambiguous": has & (lead < least_lead)})

@@ -44,7 +44,7 @@ def _count(n: int):
             for s in shingle_sets(iter(batch["text"]), n):
                 wait.append(s)
                 size += len(s)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     add()
                     wait, size, some = [], 0, True
         if size:

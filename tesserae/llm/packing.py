@@ -16,7 +16,7 @@ from tesserae.llm.common import small_batches, width, written
 from tesserae.llm.hilbert import hilbert_key
 
 BUCKETS, DIMS, BITS = 256, 4, 12
-CACHED_WORDS = 120_000
+CACHED_WORDS = 60_000
 
 #: Words of these characters alone need no Unicode normalisation; others take the tokenizer's own full path.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
