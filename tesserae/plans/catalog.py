@@ -178,10 +178,10 @@ def chunk_spans(spark, sf_dir):
     return chunking.span_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 300, 800, ".!?", r"\n+")
 
 
-@query("SELECT chunk_id, doc_id, '标题：' || source || E'\\n\\n正文：\\n' || p AS embedding_text FROM (SELECT doc_id, source, doc_id || '_chunk_' || lpad(CAST(i - 1 AS VARCHAR), 3, '0') AS chunk_id, parts[i] AS p FROM (SELECT d.doc_id, d.source, x.parts, unnest(generate_series(1, len(x.parts))) AS i FROM documents d JOIN (" + _PARTS + ") x USING (doc_id) WHERE len(x.parts) < 1000)) WHERE length(p) <= 100")
+@query("SELECT chunk_id, doc_id, '标题：' || source || E'\\n\\n正文：\\n' || p AS embedding_text FROM (SELECT doc_id, source, doc_id || '_chunk_' || CASE WHEN i > 1000 THEN CAST(i - 1 AS VARCHAR) ELSE lpad(CAST(i - 1 AS VARCHAR), 3, '0') END AS chunk_id, parts[i] AS p FROM (SELECT d.doc_id, d.source, x.parts, unnest(generate_series(1, len(x.parts))) AS i FROM documents d JOIN (" + _PARTS + ") x USING (doc_id)))")
 def chunk_embedding_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    own = docs.select("doc_id", "source", F.posexplode(cleaning.paragraphs(F.col("text"), "\n+")).alias("idx", "p")).where(F.length("p") <= 100)
+    own = docs.select("doc_id", "source", F.posexplode(cleaning.paragraphs(F.col("text"), "\n+")).alias("idx", "p"))
     return own.select(T.numbered_id(F.col("doc_id").cast("string"), F.col("idx"), "_chunk_").alias("chunk_id"), "doc_id", chunking.embedding_text(F.col("source"), F.col("p")).alias("embedding_text"))
 
 
@@ -248,9 +248,9 @@ _FIRST = "CASE " + " ".join(f"WHEN contains(title, '{p}') THEN '{p}'" for p in _
 @query(f"""SELECT doc_id, CASE WHEN NOT sp AND t IS NULL THEN 'not_speech_or_theme_title'
   WHEN (t IS NOT NULL AND (h > 0 OR contains(title, '{KEYWORD}'))) OR (sp AND ((h >= 2 AND total >= 3) OR kw >= 3)) THEN NULL
   ELSE 'weak_topic_match:distinct=' || h || ',hits=' || total || ',keyword_hits=' || kw || CASE WHEN t IS NOT NULL THEN ',title_theme=' || t ELSE '' END || CASE WHEN sp THEN ',speech_like_title' ELSE '' END END AS reason
-FROM (SELECT *, regexp_matches(title, '{TITLE_WORDS}') AS sp, {_FIRST} AS t, {_HITS} AS h, {_TOTAL} AS total, {_count_sql(KEYWORD)} AS kw FROM (SELECT doc_id, text, substr({_TITLE}, 1, 30) AS title FROM documents))""")
+FROM (SELECT *, regexp_matches(title, '{TITLE_WORDS}') AS sp, {_FIRST} AS t, {_HITS} AS h, {_TOTAL} AS total, {_count_sql(KEYWORD)} AS kw FROM (SELECT doc_id, text, {_TITLE} AS title FROM documents))""")
 def relevance(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("title", F.substring(F.element_at(F.split("text", "\n"), 1), 1, 30))
+    docs = table(spark, sf_dir, "documents").withColumn("title", F.element_at(F.split("text", "\n"), 1))
     phrases = F.array(*map(F.lit, _REL_PHRASES[1:]))
     return docs.select("doc_id", quality.relevance_skip(F.col("title"), F.col("text"), F.lit(KEYWORD), phrases, TITLE_WORDS).alias("reason"))
 
@@ -261,10 +261,10 @@ def title_skip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", quality.title_skip(title, TITLE_RULES, {}).alias("pattern"))
 
 
-@query("SELECT doc_id, CASE WHEN NOT (contains(b, 'ment') OR contains(b, 'ción')) THEN 'no_theme_signal_in_title_or_snippet' END AS reason FROM (SELECT doc_id, substr(text, 1, 20) || E'\\n' || substr(text, 21, 60) AS b FROM documents)")
+@query("SELECT doc_id, CASE WHEN NOT (contains(b, 'ment') OR contains(b, 'ción')) THEN 'no_theme_signal_in_title_or_snippet' END AS reason FROM (SELECT doc_id, string_split(text, E'\\n')[1] || E'\\n' || text AS b FROM documents)")
 def listing_skip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", quality.listing_skip(F.substring("text", 1, 20), F.substring("text", 21, 60), F.array(F.lit("ment"), F.lit("ción"))).alias("reason"))
+    return docs.select("doc_id", quality.listing_skip(F.element_at(F.split("text", "\n"), 1), F.col("text"), F.array(F.lit("ment"), F.lit("ción"))).alias("reason"))
 
 
 @query("SELECT doc_id, trim(coalesce(list_filter(string_split_regex(trim(text, E' \\n'), '[.!?\\n]'), lambda p: trim(p) <> '')[1], text), E' \\n\\t') AS sentence FROM documents")
@@ -403,14 +403,14 @@ def fragment_strip(spark, sf_dir):
     return safe.select("doc_id", "line", "stripped", fragments.has_artifacts(F.col("stripped")).alias("artifacts"))
 
 
-@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 40))")
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND b.text <> ''")
 def theta_match(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("item"))
-    return fragments.sharing(docs, "text", items, "item", 40).select("doc_id", "item_id")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    return fragments.sharing(docs, "text", items, "item", 40).where(F.contains("text", "item")).select("doc_id", "item_id")
 
 
-_REFS = f"SELECT doc_id, i, parts[i] AS p FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM ({_PARTS})) WHERE i <= 2"
+_REFS = f"SELECT doc_id, i, parts[i] AS p FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM ({_PARTS}))"
 
 
 def _line_chunks(spark, sf_dir) -> DataFrame:
@@ -419,8 +419,8 @@ def _line_chunks(spark, sf_dir) -> DataFrame:
 
 
 def _refs(chunks: DataFrame) -> DataFrame:
-    """References to the first two chunks of each document; some are spoiled."""
-    own = chunks.where("idx < 2").withColumn("case", F.when(F.col("idx") == 1, F.col("doc_id") % 5).otherwise(0))
+    """A reference to every chunk; four of five are spoiled."""
+    own = chunks.withColumn("case", (F.col("doc_id") + F.col("idx")) % 5)
     return own.select(
         F.when(F.col("case") == 1, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("ref_doc"),
         F.when(F.col("case") == 2, F.concat("chunk", F.lit("x"))).otherwise(F.col("chunk")).alias("ref_chunk"),
@@ -430,13 +430,16 @@ def _refs(chunks: DataFrame) -> DataFrame:
     )
 
 
-@query(f"SELECT doc_id + CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END AS ref_doc, doc_id || '_chunk_001' || CASE WHEN doc_id % 5 = 2 THEN 'x' ELSE '' END AS ref_chunk, CASE doc_id % 5 WHEN 1 THEN 'wrong_document' WHEN 2 THEN 'unknown_chunk' ELSE 'not_whole_chunk' END AS violation FROM ({_REFS}) WHERE i = 2 AND doc_id % 5 <> 0")
+_CHUNK = "doc_id || '_chunk_' || CASE WHEN i > 1000 THEN CAST(i - 1 AS VARCHAR) ELSE lpad(CAST(i - 1 AS VARCHAR), 3, '0') END"
+
+
+@query(f"SELECT doc_id + CASE WHEN c = 1 THEN 1 ELSE 0 END AS ref_doc, {_CHUNK} || CASE WHEN c = 2 THEN 'x' ELSE '' END AS ref_chunk, CASE c WHEN 1 THEN 'wrong_document' WHEN 2 THEN 'unknown_chunk' ELSE 'not_whole_chunk' END AS violation FROM (SELECT *, (doc_id + i - 1) % 5 AS c FROM ({_REFS})) WHERE c <> 0")
 def evidence_violations(spark, sf_dir):
     chunks = _line_chunks(spark, sf_dir)
     return evidence.violations(_refs(chunks), chunks, "doc_id", "chunk", "p").select("ref_doc", "ref_chunk", "violation")
 
 
-@query(f"SELECT doc_id AS ref_doc, doc_id || '_chunk_' || lpad(CAST(i - 1 AS VARCHAR), 3, '0') AS ref_chunk, md5(p) AS digest FROM ({_REFS}) WHERE i = 1 OR doc_id % 5 = 0")
+@query(f"SELECT doc_id AS ref_doc, {_CHUNK} AS ref_chunk, md5(p) AS digest FROM ({_REFS}) WHERE (doc_id + i - 1) % 5 = 0")
 def evidence_resolve(spark, sf_dir):
     chunks = _line_chunks(spark, sf_dir)
     refs = _refs(chunks).where("case = 0")
