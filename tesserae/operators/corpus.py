@@ -106,3 +106,51 @@ def merged_articles(articles: DataFrame, hits: DataFrame) -> DataFrame:
 def toggled(clicks: DataFrame, key: str, item: str) -> DataFrame:
     """Items that an odd number of toggles left selected."""
     return clicks.groupBy(key, item).agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, item)
+
+
+def duplicate_members(rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Every row of a group of equal text, a row each: text_sha, the id and the size of its group."""
+    own = rows.select(id_col, F.sha2(F.col(text), 256).alias("text_sha"))
+    sizes = own.groupBy("text_sha").agg(F.count("*").alias("n")).where("n > 1")
+    return own.join(sizes, "text_sha")
+
+
+def first_present(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The first value of each key, in ``order``, that is not null."""
+    return rows.groupBy(key).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias(value))
+
+
+def chunk_anomalies(chunks: DataFrame, key: str, text: str, least: int, most: int) -> DataFrame:
+    """Chunks of each key that are empty, shorter or longer than the bounds (white space does not count), and their sum."""
+    size = F.length(F.regexp_replace(text, r"\s", ""))
+    kinds = {"empty": size == 0, "below_min": (size > 0) & (size < least), "over_max": size > most}
+    own = chunks.groupBy(key).agg(*(F.count_if(x).alias(name) for name, x in kinds.items()))
+    return own.withColumn("anomalies", sum((F.col(x) for x in kinds), F.lit(0)))
+
+
+def next_number(articles: DataFrame, id_col: str = "id") -> int:
+    """One more than the largest number at the end of an id."""
+    return (articles.agg(F.max(F.regexp_extract(id_col, r"(\d+)$", 1).cast("long"))).first()[0] or 0) + 1
+
+
+def saved(articles: DataFrame, found: DataFrame, order: str, prefix: str = "speech_", ranges: int = 64) -> DataFrame:
+    """The store after an upsert: id, url, article_id, keywords.
+
+    A found article whose url or article id is known adds its keywords to that one, in order. Others get new ids in
+    ``order``, a url once. New rows are numbered within ``ranges`` ranges of ``order``, so no task sorts all of them.
+    """
+    at = matched_hits(found, articles)
+    known = at.where("id is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(order, "keywords"))).alias("_k"))
+    more = F.flatten(F.transform("_k", lambda x: x["keywords"]))
+    old = articles.join(known, "id", "left").withColumn("keywords", F.when(F.col("_k").isNotNull(), F.array_union("keywords", more)).otherwise(F.col("keywords"))).drop("_k")
+    once = W.Window.partitionBy("url").orderBy(order)
+    new = at.where("id is null").withColumn("_r", F.row_number().over(once)).where("_r = 1")
+    cuts = new.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.005) if ranges > 1 else []
+    part = sum(((F.col(order) > F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    new = new.withColumn("_part", part).withColumn("_at", F.row_number().over(W.Window.partitionBy("_part").orderBy(order)))
+    sizes = dict(new.groupBy("_part").agg(F.count("*")).collect())  # one for each range
+    before = [(k, sum(n for j, n in sizes.items() if j < k)) for k in sizes]
+    bases = articles.sparkSession.createDataFrame(before, "_part int, _base long")
+    number = F.col("_base") + F.col("_at") - 1 + F.lit(next_number(articles))
+    named = new.join(F.broadcast(bases), "_part").withColumn("id", F.concat(F.lit(prefix), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))))
+    return old.unionByName(named.select(*old.columns))

@@ -271,3 +271,61 @@ def test_sharing_finds_whole_short_texts(spark):
     items = spark.createDataFrame([(k, v) for k, v in enumerate(["passage", "x", "g", "", None, "a small passage lies in there", "passages"])], "item_id long, item string")
     got = fragments.sharing(texts, "text", items, "item", 20)
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 0), (1, 2), (1, 5), (2, 2)]
+
+
+def test_gaps_are_repaired():
+    """Invented sentences whose fragment is taken out: joiners, headings, places and sentences that lose their core."""
+    from tesserae.operators import fragments
+
+    canon = "大家要认真学习绿色能源知识，推动海洋运输发展，形成海岛经济。"
+    cut = lambda text: fragments.stripped(text, [canon])
+    assert cut("本报告介绍公司概况、设备清单、海洋运输和后续安排。") == "本报告介绍公司概况、设备清单和后续安排。"
+    assert cut("船队依靠绿色能源远航") == "船队依靠远航"
+    assert cut("二、海岛经济与展望") == "二、展望"
+    assert cut("三、绿色能源\n我们修船。") == "我们修船。"
+    assert cut("我们在海洋运输方面造船。") == "我们造船。"
+    assert cut("公司将绿色能源与海岛经济融合。我们修船。") == "我们修船。"
+    assert cut("码头已经完工海岛经济四、人员安排") == "码头已经完工\n四、人员安排"
+    assert cut("公司将与学校合作。现在的市场很大。") == "公司将与学校合作。现在的市场很大。"
+
+
+def test_fragments_of_four_and_whole_short_items(spark):
+    from tesserae.operators import fragments
+
+    texts = spark.createDataFrame([(1, "xx abc yy"), (2, "one wxyz two 😀"), (3, ""), (4, None)], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "abc"), (2, "12wxyz34"), (3, ""), (4, None), (5, "😀")], "item_id int, item string")
+    for most in (fragments.MOST_BROADCAST, 0):
+        fragments.MOST_BROADCAST, before = most, fragments.MOST_BROADCAST
+        try:
+            got = fragments.sharing(texts, "text", items, "item", 4).select("doc_id", "item_id").collect()
+        finally:
+            fragments.MOST_BROADCAST = before
+        assert sorted(map(tuple, got)) == [(1, 1), (2, 2), (2, 5)]
+
+
+def test_strict_chunks_blank_queries_and_many_queries(spark):
+    from pyspark.errors import PySparkException
+
+    from tesserae.operators import retrieval
+
+    hits, chunks = spark.createDataFrame([(1,), (2,)], "c int"), spark.createDataFrame([(1, "a")], "c int, t string")
+    assert [r.t for r in retrieval.chunks_of_hits(hits.where("c = 1"), chunks, "c").collect()] == ["a"]
+    with pytest.raises(PySparkException):
+        retrieval.chunks_of_hits(hits, chunks, "c").collect()
+    with pytest.raises(PySparkException):
+        retrieval.asked_text(spark.createDataFrame([(" ",)], "t string"), "t").collect()
+    with pytest.raises(ValueError):
+        retrieval.top_k(chunks, "t", hits, "c", "c")
+
+
+def test_saved_numbers_and_merges(spark):
+    from tesserae.operators import corpus
+
+    kinds = "id string, url string, article_id string, keywords array<string>"
+    store = spark.createDataFrame([("speech_007", "u1", "a1", ["x"]), ("speech_002", "u2", None, [])], kinds)
+    found = spark.createDataFrame(
+        [(1, "u9", None, ["n"]), (2, "u1", None, ["y", "x"]), (3, "u8", "a1", ["z"]), (4, "u9", None, ["m"]), (5, "u5", None, ["k"])],
+        "pos int, url string, article_id string, keywords array<string>",
+    )
+    got = {r.id: (r.url, r.keywords) for r in corpus.saved(store, found, "pos", ranges=2).collect()}
+    assert got == {"speech_007": ("u1", ["x", "y", "z"]), "speech_002": ("u2", []), "speech_008": ("u9", ["n"]), "speech_009": ("u5", ["k"])}
