@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import components, discard, width, written
-from tesserae.llm.vectors import by_group, numbered, stacked
+from tesserae.llm.vectors import numbered, stacked
 
 STEP = 2.4  # width of a quantised projection; near pairs at cosine 0.9 are 0.45 apart, unrelated ones about 1.41
 BLOCK = 1024
 MISS = 0.01  # most pairs at the least cosine that share no bucket, at every number of rows
 LEAST_TABLES = 28
+FEW = 8  # vectors of a group that is compared together with others
 
 
 def projections_for(rows: int) -> int:
@@ -32,6 +33,11 @@ def tables_for(k: int, least: float) -> int:
     return LEAST_TABLES if share >= 1 - MISS else max(LEAST_TABLES, math.ceil(math.log(MISS) / math.log1p(-share)))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _hashes(tables: int, k: int, seed: int):
     part = max(1, (1 << 21) // (tables * k))  # rows projected at once
 
@@ -44,9 +50,7 @@ def _hashes(tables: int, k: int, seed: int):
                 planes, shift = rng.standard_normal((d, tables * k)), rng.random(tables * k)
                 mix = rng.integers(1, 1 << 62, tables * k, dtype=np.int64) | 1
                 own = np.flatnonzero(dims == d)
-                x = stacked(batch["v"].iloc[own])
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(stacked(batch["v"].iloc[own]))
                 salt = np.arange(tables, dtype=np.int64) * np.int64(0x9E3779B97F4A7C1) + int(d)
                 for lo in range(0, len(own), part):
                     cells = np.floor(x[lo : lo + part] @ planes / STEP + shift).astype(np.int64) * mix
@@ -58,15 +62,66 @@ def _hashes(tables: int, k: int, seed: int):
 
 
 def _matches(least: float):
-    """Within one bucket's block or pair of blocks: links counted at their first common table, and a star of links."""
+    """Within one bucket's block or pair of blocks: links counted at their first common table, and a star of links.
+
+    Groups of up to ``FEW`` vectors, which are nearly all, are compared at once over a whole batch.
+    """
+    columns, none = ["uid", "links", "root"], np.zeros((0, 3), np.int64)
+
+    def few(g: pd.DataFrame, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        x, m, uid = _unit(stacked(g["v"])), g["m"].to_numpy(), g["uid"].to_numpy()
+        i, j, side, t, buckets = (g[c].to_numpy() for c in ("i", "j", "side", "t", "buckets"))
+        out = [none]
+        for gap in range(1, FEW):
+            for first in range(FEW - gap):
+                a = start[size > first + gap] + first
+                a = a[(np.einsum("ij,ij->i", x[a], x[a + gap]) >= least) & ((i[a] == j[a]) | (side[a] != side[a + gap]))]
+                for table in np.unique(t[a]):
+                    own = a[t[a] == table]
+                    if table:
+                        one, two = (np.stack(buckets[y]) for y in (own, own + gap))
+                        own = own[(one != two).all(axis=1)]
+                    b, low = own + gap, np.minimum(uid[own], uid[own + gap])
+                    out += [np.stack([uid[own], m[b], low], axis=1), np.stack([uid[b], m[own], low], axis=1)]
+        return np.concatenate(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wait: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            marks = batch[["bucket", "i", "j"]].to_numpy()
+            same = bool(wait) and (wait[-1][["bucket", "i", "j"]].to_numpy()[-1] == marks).all()
+            wait.append(batch)
+            if not same:  # else the group goes on
+                g = pd.concat(wait, ignore_index=True)
+                done, rest = cut(g, False)
+                wait = [rest]
+                yield done
+        if wait:
+            yield cut(pd.concat(wait, ignore_index=True), True)[0]
+
+    def cut(g: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+        marks = g[["bucket", "i", "j"]].to_numpy()
+        edges = np.r_[0, np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, len(g)]
+        stop = len(edges) - 1 if last else len(edges) - 2
+        start, size = edges[:stop], np.diff(edges[: stop + 1])
+        found = [y for y in (work(g.iloc[edges[k] : edges[k + 1]]) for k in np.flatnonzero(size > FEW)) if y is not None]
+        small = size <= FEW
+        width = g["v"].map(len).to_numpy()
+        for d in np.unique(width[start[small]]) if small.any() else ():
+            part = small & (width[start] == d)
+            rows = np.concatenate([np.arange(a, a + n) for a, n in zip(start[part], size[part], strict=True)])
+            own = few(g.iloc[rows], np.cumsum(size[part]) - size[part], size[part])
+            found.append(pd.DataFrame(own, columns=columns))
+        empty = pd.DataFrame(none, columns=columns)
+        return (pd.concat(found, ignore_index=True) if found else empty), g.iloc[edges[stop] :]
 
     def work(g: pd.DataFrame) -> pd.DataFrame | None:
         if len(g) < 2:
             return None
         table, left, right = int(g["t"].min()), int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        x = stacked(g["v"])
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(stacked(g["v"]))
         near = x @ x.T >= least
         np.fill_diagonal(near, False)
         if left != right:  # pairs within a block are another group's
@@ -89,7 +144,7 @@ def _matches(least: float):
             first &= signs[:, t][:, None] != signs[:, t][None, :]
         return pd.DataFrame({"uid": uid, "links": first @ m, "root": root})
 
-    return by_group(["bucket", "i", "j"], work, pd.DataFrame({"uid": [], "links": [], "root": []}).astype("int64"))
+    return run
 
 
 def near_vectors(

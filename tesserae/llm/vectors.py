@@ -1,9 +1,7 @@
-"""What both vector operators share: which vectors take part, and groups read from sorted partitions."""
+"""What both vector operators share: which vectors take part, and matrices of them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,40 +27,3 @@ def numbered(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def stacked(column: pd.Series) -> np.ndarray:
     """Rows of equal length as one matrix of doubles."""
     return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 0))
-
-
-def by_group(keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None], empty: pd.DataFrame):
-    """For ``mapInPandas`` over partitions sorted by ``keys``: calls ``work`` with each whole group.
-
-    Only the group that a batch ends in waits for the next batch, so memory is that of a batch and a group.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wait: list[pd.DataFrame] = []
-
-        def groups(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            marks = frame[keys].to_numpy()
-            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1), len(frame)]
-            yield from (frame.iloc[a:b] for a, b in zip(edges, edges[1:], strict=False))
-
-        def done(parts: list[pd.DataFrame]) -> pd.DataFrame:
-            found = [x for x in map(work, parts) if x is not None and len(x)]
-            return pd.concat(found, ignore_index=True) if found else empty
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            parts = list(groups(batch))
-            if wait and (wait[0][keys].iloc[0].to_numpy() == parts[0][keys].iloc[0].to_numpy()).all():
-                wait.append(parts.pop(0))
-                if not parts:
-                    continue
-            if wait:
-                parts.insert(0, pd.concat(wait, ignore_index=True))
-            wait = [parts.pop()]
-            if parts:
-                yield done(parts)
-        if wait:
-            yield done([pd.concat(wait, ignore_index=True)])
-
-    return run
