@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as T
 from tesserae.operators import cleaning, corpus, retrieval, reviews
 from tesserae.plans.catalog import _COS, _LINES, _TOP, _top, query, table
+from tesserae.streaming import workspace
 
 _LABELS = {"view": "seen", "click": "opened", "purchase": "bought"}
 
@@ -180,3 +181,28 @@ def material_violations(spark, sf_dir):
         F.when(case == 3, F.array(F.lit("d2"))).otherwise(F.array(F.lit("d1"))), 12,
     )
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(broken, ",").alias("violations"))
+
+
+_ACTIONS = [
+    "PROFILE_GENERATED", "CONFIRM_PROFILE", "RECOMMENDATIONS_LOADED", "TOGGLE_EVIDENCE", "ASSETS_LOADED", "UPDATE_ASSET", "CONFIRM_ASSETS", "MATERIAL_LOADED",
+    "SET_VIEWING", "TOGGLE_EVIDENCE", "ASSETS_LOADED", "REMOVE_ASSET", "SET_SCENARIO", "UPDATE_PROFILE_ITEM", "FAIL", "REQUEST", "CLEAR_ERROR", "CONFIRM_ASSETS",
+    "ASSETS_LOADED", "TOGGLE_EVIDENCE",
+]
+
+
+def workspace_actions(spark, sf_dir):
+    """Every event as an action of its user's session; what it says follows from the event's columns."""
+    events, k = table(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, _ACTIONS)), (F.pmod(k * 7 + F.length("event_type"), F.lit(len(_ACTIONS))) + 1).cast("int"))
+    step = F.element_at(F.array(*map(F.lit, workspace.STEPS)), (k % 5 + 1).cast("int"))
+    chunk = F.concat(F.lit("c"), (k % 2).cast("string"))
+    arg = F.when(kind == "SET_VIEWING", step).when(kind == "TOGGLE_EVIDENCE", chunk).when(kind == "REMOVE_ASSET", "a1").otherwise(F.col("event_type"))
+    ids = F.when(k % 3 == 0, F.array(F.lit("c1"), F.lit("c0"))).when(k % 3 == 1, F.array(chunk)).otherwise(F.array().cast("array<string>"))
+    own = {"kind": kind, "arg": arg, "ids": ids, "items": F.array(F.lit("a1"), F.lit("a2")), "n": (k % 4).cast("int"), "incomplete": k % 5 == 0}
+    return events.select("user_id", "event_id", *(v.alias(c) for c, v in own.items()))
+
+
+@query()
+def workspace_fold(spark, sf_dir):
+    out = workspace.workspaces(workspace_actions(spark, sf_dir), "user_id", "event_id")
+    return out.withColumns({"selected": F.array_join("selected", ","), "assets": F.array_join("assets", ",")})
