@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Elements whose content is no text.
-SKIPPED = {"script", "style", "button"}
+SKIPPED = {"script", "style", "button", "video"}
 
 
 class _Page(HTMLParser):
@@ -97,7 +97,7 @@ def article_id(url: Column) -> Column:
 
 def origin(text: Column) -> Column:
     """What stands between the origin mark and the date mark."""
-    return F.nullif(F.trim(F.regexp_extract(text, r"来源：\s*(.*?)\s*(?:发布时间|$)", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(text, r"来源：\s*(.*?)\s*(?:发布时间|\[\d{4}-|$)", 1)), F.lit(""))
 
 
 def published(text: Column) -> Column:
