@@ -16,7 +16,7 @@ from tesserae.llm.common import small_batches, width, written
 from tesserae.llm.hilbert import hilbert_key
 
 BUCKETS, DIMS, BITS = 256, 4, 12
-CACHED_WORDS = 60_000
+CACHED_WORDS = 250_000
 
 #: Words of these characters alone need no Unicode normalisation; others take the tokenizer's own full path.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -57,13 +57,13 @@ class _Words(dict):
 
     Where the tokenizer drops white space and never joins across a blank, a text's ids are those of its pieces;
     with any other tokenizer every text is encoded whole. Special tokens that stand in a text keep their ids, as
-    the tokenizer has them. The cache is emptied when it is full.
+    the tokenizer has them. A full cache becomes the older one, from which words that come again return.
     """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.tokenizer, self.dtype, self.older = Tokenizer.from_file(path), dtype, {}
         self.by_piece = _drops_blanks(self.tokenizer)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
@@ -75,8 +75,11 @@ class _Words(dict):
         return [token.id for x in parts for token in self.model.tokenize(x)]
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self._ids(word), self.dtype).tobytes()
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = np.array(self._ids(word), self.dtype).tobytes()
         if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
             self.clear()
         if len(word) < 200:
             self[word] = ids
