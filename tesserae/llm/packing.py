@@ -66,10 +66,12 @@ class _Words(dict):
         self.tokenizer, self.dtype, self.older = Tokenizer.from_file(path), dtype, {}
         self.by_piece = _drops_blanks(self.tokenizer)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.first = {x[0] for x in self.special}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def _ids(self, word: str) -> list[int]:
-        if len(word) > 100 or not _PLAIN.fullmatch(word) or any(x in word for x in self.special):
+        special = not self.first.isdisjoint(word) and any(x in word for x in self.special)
+        if special or len(word) > 100 or not _PLAIN.fullmatch(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         parts = (x.encode().decode("latin-1").translate(self.letters) for x in _PARTS.findall(word.lower()))
         return [token.id for x in parts for token in self.model.tokenize(x)]
