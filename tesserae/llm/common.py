@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(2 << 20))
 
 
+_HELD: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any] = dict) -> Any:
+    """What a reused Python worker keeps from one task to the next: only the cache of the operator that ran last.
+
+    Operators without a cache call it as well, so that a worker lets go of what an earlier stage left.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession

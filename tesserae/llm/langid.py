@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import hash_sample, small_batches
+from tesserae.llm.common import hash_sample, held, small_batches
 
 SIZE = 1 << 13
 UNKNOWN = "und"
@@ -136,6 +136,7 @@ def _fit(x: Rows, y: np.ndarray, languages: list[str], steps: int = 60) -> Langu
 
 def _sparse(languages: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held("language")
         for batch in batches:
             rows = [features(t or "") for t in batch["text"]]
             yield pd.DataFrame(
@@ -184,6 +185,7 @@ def labeller(model: LanguageCodes | None, least_lead: float = 0.2):
 
     @F.pandas_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
     def label(texts: pd.Series) -> pd.DataFrame:
+        held("language")
         has = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in texts], bool)
         best, score, lead = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
         own = np.flatnonzero(has) if model else np.array([], int)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import small_batches, written
+from tesserae.llm.common import held, small_batches, written
 
 SIZE = 128
 GRAIN = 1 << 24  # steps a unit when vectors are added up
@@ -28,17 +28,14 @@ class _Slots(dict):
         return slot
 
 
-_SLOTS = _Slots()
-
-
 def _vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hellinger vectors of hashed words, and numbers of words, of whole texts."""
-    out, n = np.zeros((len(texts), SIZE)), np.zeros(len(texts), np.int64)
+    out, n, slots = np.zeros((len(texts), SIZE)), np.zeros(len(texts), np.int64), held("slots", _Slots)
     for k, text in enumerate(texts):
         words = text.split()
         n[k] = len(words)
         if words:
-            out[k] = np.bincount(np.fromiter(map(_SLOTS.__getitem__, words), np.int64, len(words)), minlength=SIZE)
+            out[k] = np.bincount(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)), minlength=SIZE)
     return np.sqrt(out / np.maximum(n, 1)[:, None]), n
 
 

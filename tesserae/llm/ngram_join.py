@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, discard, small_batches, width, written
+from tesserae.llm.common import components, discard, held, small_batches, width, written
 from tesserae.llm.shingles import mixed, shingle_sets, wide_sets
 
 PLACES = 22  # bits of a counter's number in the frequency table, whatever the size of the corpus
@@ -34,6 +34,7 @@ def _count(n: int):
     """First pass: how often the shingles of each bucket occur in this partition's texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held("shingles")
         counts, wait, size, some = np.zeros(BUCKETS, np.int32), [], 0, False
 
         def add() -> None:
@@ -112,6 +113,7 @@ def _describe(n: int, common, parts: tuple[int, int]):
 
     @F.pandas_udf("struct<n: long, k1: long, k2: long, bits: binary, stars: array<long>, typical: double, rare: binary>")
     def describe(texts: pd.Series) -> pd.DataFrame:
+        held("shingles")
         often, rows = common.value, []
         for s in shingle_sets(iter(texts), n):
             size = len(s)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import small_batches, width, written
+from tesserae.llm.common import held, small_batches, width, written
 from tesserae.llm.hilbert import hilbert_key
 
 BUCKETS, DIMS, BITS = 256, 4, 12
@@ -94,13 +94,8 @@ class _Words(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
-_OPEN: dict[tuple[str, str], _Words] = {}
-
-
 def _words(path: str, dtype: str) -> _Words:
-    if (path, dtype) not in _OPEN:
-        _OPEN[path, dtype] = _Words(path, dtype)
-    return _OPEN[path, dtype]
+    return held(("words", path, dtype), lambda: _Words(path, dtype))
 
 
 def _curve_keys(vectors: np.ndarray) -> np.ndarray:
