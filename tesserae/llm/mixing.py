@@ -59,7 +59,7 @@ def _stacked(vectors: pd.Series) -> np.ndarray:
 
 
 def _sums(c: np.ndarray):
-    """Of each task: by centre the sum of the vectors of its rows, in whole steps of 1 / ``GRAIN``."""
+    """Of each task: by centre and component the sum over its rows, in whole steps of 1 / ``GRAIN``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, total = np.zeros(len(c), np.int64), np.zeros((len(c), SIZE), np.int64)
@@ -71,7 +71,7 @@ def _sums(c: np.ndarray):
                 n[k] += (own == k).sum()
                 total[k] += steps[own == k].sum(axis=0)
         used = np.flatnonzero(n)
-        yield pd.DataFrame({"topic": used, **{f"s{j}": total[used, j] for j in range(SIZE)}})
+        yield pd.DataFrame({"topic": np.repeat(used, SIZE), "place": np.tile(np.arange(SIZE), len(used)), "total": total[used].ravel()})
 
     return run
 
@@ -80,20 +80,19 @@ def topic_centres(vectors: DataFrame, topics: int = 8, max_rows: int = 2000, rou
     """Spherical k-means over all rows of ``vectors`` (``doc_id``, ``vector``, ``tokens``) that have a word.
 
     Only the starts come from a sample: far-apart rows of ``max_rows`` at most, by hash of id and vector. In each
-    round tasks assign their rows and add them up, and the driver receives a row of whole numbers for each topic,
-    so that the result does not depend on partitions. Ends when no centre moves.
+    round tasks assign their rows and add them up, and the driver receives a whole number for each topic and
+    component, so that the result does not depend on partitions. Ends when no centre moves.
     """
     rows = vectors.where("tokens > 0").select("doc_id", "vector")
     draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "vector")
     first = rows.select("vector", draw.alias("draw")).orderBy("draw", "vector").limit(max_rows).toPandas()
     x = _stacked(first["vector"])
     c = _starts(x[np.lexsort(x.T)] if len(x) else x, topics)
-    schema = ", ".join(["topic long", *(f"s{j} long" for j in range(SIZE))])
     for _ in range(rounds if len(x) else 0):
-        parts = rows.select("vector").mapInPandas(_sums(c), schema)
-        got = parts.groupBy("topic").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(SIZE))).toPandas()
+        parts = rows.select("vector").mapInPandas(_sums(c), "topic long, place long, total long")
+        got = parts.groupBy("topic", "place").agg(F.sum("total").alias("total")).toPandas()
         now = c.copy()
-        now[got["topic"].to_numpy()] = got.drop(columns="topic").to_numpy(float)
+        now[got["topic"].to_numpy(), got["place"].to_numpy()] = got["total"].to_numpy(float)
         now /= np.maximum(np.linalg.norm(now, axis=1, keepdims=True), 1e-12)
         if np.abs(now - c).max() < 1e-9:
             break
