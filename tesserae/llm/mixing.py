@@ -79,13 +79,16 @@ def _sums(c: np.ndarray):
 def topic_centres(vectors: DataFrame, topics: int = 8, max_rows: int = 2000, rounds: int = 25) -> np.ndarray:
     """Spherical k-means over all rows of ``vectors`` (``doc_id``, ``vector``, ``tokens``) that have a word.
 
-    Only the starts come from a sample: far-apart rows of ``max_rows`` at most, by hash of id and vector. In each
+    Only the starts come from a sample: far-apart rows of ``max_rows`` at most, those of the smallest hashes of id and
+    vector, where equal rows count once; tasks leave out larger hashes, so that no more is sent with more tasks. In each
     round tasks assign their rows and add them up, and the driver receives a whole number for each topic and
     component, so that the result does not depend on partitions. Ends when no centre moves.
     """
     rows = vectors.where("tokens > 0").select("doc_id", "vector")
     draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "vector")
-    first = rows.select("vector", draw.alias("draw")).orderBy("draw", "vector").limit(max_rows).toPandas()
+    lowest = -(1 << 63) + min(1.0, 4 * max_rows / max(rows.count(), 1)) * float(1 << 64)
+    some = rows.select("vector", draw.alias("draw")).where(F.col("draw") <= lowest).dropDuplicates(["draw"])
+    first = some.orderBy("draw").limit(max_rows).toPandas()
     x = _stacked(first["vector"])
     c = _starts(x[np.lexsort(x.T)] if len(x) else x, topics)
     for _ in range(rounds if len(x) else 0):
