@@ -160,7 +160,8 @@ def mix(
     ``targets`` gives shares by margin and value; a margin that it leaves out aims at its own shares to the
     ``power``. Each row gets its topic from its whole text, its number of words (tokens), the probability of its
     cell, and ``kept``, which follows from a hash of the id. Adds source_group, lang_group, topic, tokens,
-    probability and kept to the columns ``keep``; rows that are not kept stay in the result.
+    probability and kept to the columns ``keep`` and takes the place of columns of these names, in either case;
+    rows that are not kept stay in the result.
 
     The driver sees the cells only: the ``most`` largest values of a margin (256 sources and 64 languages unless
     given) have cells of their own, and the rest share one. Nulls are a value of their own. Empty and null texts
@@ -168,9 +169,12 @@ def mix(
     """
     small_batches(docs.sparkSession)
     most = {"source": 256, "lang": 64} | (most or {})
-    names = list(dict.fromkeys([*keep, "doc_id", "source", "lang"]))
+    added = {"source_group", "lang_group", "topic", "tokens", "probability", "kept"}
+    kept = {f"_{k}": c for k, c in enumerate(keep) if c.lower() not in added}  # no name clashes on the way
+    names = [*kept, "doc_id", "source", "lang"]
     own = _sketch(F.col("text").cast("string")).alias("_own")
-    sketched = written(docs.select(*names, own).select(*names, "_own.vector", "_own.tokens"), "sketched")
+    rows = docs.select(*(F.col(c).alias(k) for k, c in kept.items()), "doc_id", "source", "lang", own)
+    sketched = written(rows.select(*names, "_own.vector", "_own.tokens"), "sketched")
     topic = _topics(topic_centres(sketched, topics))(F.col("vector")).alias("topic")
     labelled = sketched.select(*names, topic, "tokens")
     for name in ("source", "lang"):
@@ -199,4 +203,4 @@ def mix(
     chance = docs.sparkSession.createDataFrame(chances, "source_group string, lang_group string, topic string, probability double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     out = labelled.join(F.broadcast(chance), groups).withColumn("kept", draw < F.col("probability"))
-    return out.select(*keep, *groups, "tokens", "probability", "kept")
+    return out.select(*(F.col(k).alias(c) for k, c in kept.items()), *groups, "tokens", "probability", "kept")

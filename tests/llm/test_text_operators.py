@@ -280,6 +280,10 @@ def test_mix(docs, none):
     few = mixing.mix(docs, most={"source": 1}).toPandas()
     assert mixing.OTHER in set(few.source_group)
     assert mixing.mix(none).count() == 0
+    clash = docs.select("*", *(F.lit("x").alias(c) for c in ("topic", "Tokens", "kept", "vector", "doc_id_2")))
+    same = mixing.mix(clash, share=0.5, keep=("doc_id", "topic", "Tokens", "kept", "vector", "source")).toPandas()
+    assert list(same) == ["doc_id", "vector", "source", "source_group", "lang_group", "topic", "tokens", "probability", "kept"]
+    assert set(same["vector"]) == {"x"} and same["kept"].sum() == out["kept"].sum()
 
 
 def test_topics_come_from_all_documents(spark):
