@@ -55,10 +55,11 @@ def place(rows: DataFrame, keys: list[str], shards: list[str], slots: int = SLOT
     """Add ``slot`` and ``shard`` to every row, with built-in functions and one broadcast lookup of ``slots`` rows.
 
     Equal keys share a shard. A key that holds very many rows fills its shard: give a further column in ``keys``
-    to spread it. Columns of the same names are replaced. An empty table gives no rows.
+    to spread it. Columns of the same names are replaced, also where they are keys. An empty table gives no rows.
     """
     table = lookup_table(shards, slots, turns)
     where = [(int(k), shards[int(s)]) for k, s in enumerate(table)]
     small = rows.sparkSession.createDataFrame(where, "slot int, shard string")
-    placed = rows.drop("slot", "shard").withColumn("slot", slot_of([F.col(k) for k in keys], slots))
-    return placed.join(F.broadcast(small), "slot").select(*(c for c in placed.columns), "shard")
+    others = [f"`{c}`" for c in rows.columns if c.lower() not in ("slot", "shard")]
+    placed = rows.select(*others, slot_of([F.col(k) for k in keys], slots).alias("slot"))
+    return placed.join(F.broadcast(small), "slot").select(*others, "slot", "shard")

@@ -90,6 +90,21 @@ def test_sharding(docs, none):
         assert r.shard == names[table[r.slot]]
     assert out.groupBy("doc_id").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
     assert sharding.place(none, ["doc_id"], names, 101).count() == 0
+    wishes = {}  # every shard's whole order of preference, a permutation of the slots
+    for x in names:
+        start, stride = sharding._number(x, "start") % 101, sharding._number(x, "stride") % 100 + 1
+        wishes[x] = [(start + k * stride) % 101 for k in range(101)]
+        assert sorted(wishes[x]) == list(range(101))
+    owner: dict[int, str] = {}
+    while len(owner) < 101:
+        for x in names:
+            best = next((k for k in wishes[x] if k not in owner), None)
+            if best is not None:
+                owner[best] = x
+    assert [names[k] for k in table] == [owner[k] for k in range(101)]
+    clash = docs.select("doc_id", F.col("source").alias("Slot"), F.lit("x").alias("shard"), "text")
+    both = sharding.place(clash, ["doc_id", "Slot"], names, 101)
+    assert both.columns == ["doc_id", "text", "slot", "shard"] and both.count() == docs.count()
     with pytest.raises(ValueError):
         sharding.lookup_table(names, 100)
 
