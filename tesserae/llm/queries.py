@@ -97,6 +97,29 @@ def op10_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_sets(_table(spark, sf_dir, "documents"), 5, (80, 100)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_group_quadtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op12_paired_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.whitening import whiten
+
+    out = whiten(_table(spark, sf_dir, "embeddings"), components=8)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS long)"))  # null where it needs more than 64 bits
+
+
+def op13_word_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tesserae.llm.lexicon import decode, encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = decode(encode(_table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,6 +137,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_stable_hashing": op8_stable_hashing,
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_signature_trees": op10_signature_trees,
+    "op11_group_quadtree": op11_group_quadtree,
+    "op12_paired_variances": op12_paired_variances,
+    "op13_word_transducer": op13_word_transducer,
     "pipeline": pipeline,
 }
 _REACH = """r AS (SELECT id AS node, id AS root FROM ids UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
@@ -139,5 +165,20 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(list_zip
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
+_DIVERGENCE = """WITH d AS (SELECT row_number() OVER () AS k, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+t AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT k) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM t GROUP BY 1),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN t USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT DISTINCT lang, source FROM d),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM s LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+m AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * l.v) AS p,
+  1 + (1000000000::HUGEINT * (t.n + 2)) // (l.total + 2 * l.v) AS q FROM g JOIN l USING (lang) JOIN t USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM m x JOIN m y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+o AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0) AS value FROM s x JOIN s y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM m WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM o)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10"""
+
 #: The other operators train a model, tokenize, or work on bytes, which SQL cannot express.
-ORACLES: dict[str, str] = {"op6_shifted_curves": _NEAREST, "op8_stable_hashing": _NEAR_VECTORS, "op10_signature_trees": _NEAR_SETS}
+ORACLES: dict[str, str] = {"op6_shifted_curves": _NEAREST, "op8_stable_hashing": _NEAR_VECTORS, "op10_signature_trees": _NEAR_SETS, "op11_group_quadtree": _DIVERGENCE}
