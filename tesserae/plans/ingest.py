@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.plans.catalog import query, table
+from tesserae.operators import matching, retrieval
+from tesserae.plans.catalog import _CAP, _TOP, _top, query, table
 from tesserae.sources import pages
 
 # --- pages -----------------------------------------------------------------------------------------------------
@@ -35,3 +36,56 @@ def page_detail(spark, sf_dir):
     own = table(spark, sf_dir, "pages").select("page_id", pages.detail_fields(F.col("html"), "article", "", "article").alias("f"))
     count = F.size(F.split("f.body", "\n\n")).cast("long").alias("n_paragraphs")
     return own.select("page_id", "f.title", count, F.md5("f.body").alias("digest"), "f.error")
+
+
+# --- items in texts --------------------------------------------------------------------------------------------
+
+_ITEMS = "SELECT 'b' || item_id AS item, text AS value FROM benchmark WHERE text IS NOT NULL UNION ALL SELECT DISTINCT 's' || source, source FROM documents WHERE source IS NOT NULL"
+
+
+def _items(spark, sf_dir):
+    known = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("item"), F.col("text").alias("value"))
+    return known.union(table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), "source"), "source").distinct())
+
+
+@query(f"SELECT doc_id, item FROM documents d JOIN ({_ITEMS}) i ON contains(d.text, i.value) OR contains(d.source, i.value) OR contains(i.value, d.source)")
+def item_match(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("words"))
+    return matching.named_items(docs, _items(spark, sf_dir), keywords="words").select("doc_id", "item")
+
+
+_WORDS = "SELECT DISTINCT list_extract(string_split(text, ' '), k) AS value FROM benchmark, generate_series(1, 3) AS g(k) WHERE list_extract(string_split(text, ' '), k) <> ''"
+
+
+@query(f"SELECT c.conv_id, c.turn, coalesce(string_agg(v.value, ' ' ORDER BY v.value), '') AS named FROM conversations c LEFT JOIN ({_WORDS}) v ON contains(c.text, v.value) GROUP BY 1, 2")
+def identity_evidence(spark, sf_dir):
+    first = F.explode(F.slice(F.split("text", " "), 1, 3)).alias("value")
+    items = table(spark, sf_dir, "benchmark").select(first).where("value <> ''").distinct().withColumn("id", F.col("value"))
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text")
+    out = matching.evidence_ids(turns, items, "k", "id", "value")
+    return out.select("k.conv_id", "k.turn", F.array_join("item_ids", " ").alias("named"))
+
+
+_MANY = "['p1', 'p2', 'p9']"
+
+
+@query(f"""WITH {_TOP}, {_CAP}, i(id, k, value) AS (VALUES ('p1', 0, 'the'), ('p2', 1, 'der'), ('p3', 2, 'tion')),
+r AS (SELECT vec_id, pos, CASE WHEN pos % 3 <> 0 THEN CASE pos % 4 WHEN 1 THEN 'irrelevant' ELSE 'medium' END ELSE 'weak' END AS relevance,
+ CASE WHEN pos % 3 <> 0 THEN 'r' || vec_id ELSE '{retrieval.FALLBACK}' END AS reason,
+ CASE WHEN pos % 3 <> 0 THEN list_filter({_MANY}[1:pos % 4], lambda x: x IN ('p1', 'p2', 'p3') AND pos % 2 = 0) ELSE [] END AS ids,
+ row_number() OVER (ORDER BY pos % 3 = 0, CASE WHEN pos % 3 = 0 THEN pos ELSE -pos END) - 1 AS rank FROM cap),
+f AS (SELECT r.vec_id, string_agg(i.id, ',' ORDER BY i.k) AS found FROM r JOIN documents d ON d.doc_id = r.vec_id JOIN i ON contains(d.text, i.value) GROUP BY 1)
+SELECT vec_id, rank, relevance, reason, CASE WHEN len(ids) > 0 THEN array_to_string(ids, ',') ELSE coalesce(found, '') END AS profile_ids FROM r LEFT JOIN f USING (vec_id) WHERE relevance <> 'irrelevant' ORDER BY rank LIMIT 5""")
+def recommend_with_evidence(spark, sf_dir):
+    candidates = retrieval.group_cap(_top(spark, sf_dir), "label").select("vec_id", "pos")
+    said, even = F.col("pos") % 4, F.col("pos") % 2 == 0
+    ids = F.when(even, F.slice(F.array(*map(F.lit, ["p1", "p2", "p9"])), F.lit(1), said)).otherwise(F.array(F.lit("p9")))
+    relevance = F.when(said == 1, "irrelevant").otherwise("medium")
+    results = candidates.where("pos % 3 <> 0").select(
+        "vec_id", (-F.col("pos")).alias("result_pos"), relevance.alias("relevance"), F.concat(F.lit("r"), "vec_id").alias("reason"), ids.alias("profile_ids")
+    )
+    ranked = retrieval.apply_rerank(candidates, results, "vec_id")
+    items = spark.createDataFrame([("p1", 0, "the"), ("p2", 1, "der"), ("p3", 2, "tion")], "id string, at int, value string")
+    texts = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "vec_id").join(F.broadcast(candidates.select("vec_id")), "vec_id").select("vec_id", "text")
+    out = matching.with_evidence(ranked, matching.evidence_ids(texts, items, "vec_id", "id", "at"), ["p1", "p2", "p3"], "vec_id")
+    return retrieval.recommended(out).select("vec_id", "rank", "relevance", "reason", F.array_join("profile_ids", ",").alias("profile_ids"))
