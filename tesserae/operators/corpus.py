@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tesserae.functions.lineage import cut
+
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     """Documents whose id is not dropped."""
@@ -128,29 +130,69 @@ def chunk_anomalies(chunks: DataFrame, key: str, text: str, least: int, most: in
     return own.withColumn("anomalies", sum((F.col(x) for x in kinds), F.lit(0)))
 
 
-def next_number(articles: DataFrame, id_col: str = "id") -> int:
-    """One more than the largest number at the end of an id."""
-    return (articles.agg(F.max(F.regexp_extract(id_col, r"(\d+)$", 1).cast("long"))).first()[0] or 0) + 1
+def next_number(articles: DataFrame, id_col: str = "id", prefix: str | None = None) -> int:
+    """One more than the largest number at the end of an id, or of those that are ``prefix`` and a number."""
+    pattern = r"(\d+)$" if prefix is None else rf"^\Q{prefix}\E(\d+)$"
+    found = F.nullif(F.regexp_extract(id_col, pattern, 1), F.lit("")).cast("long")
+    return (articles.agg(F.max(found)).first()[0] or 0) + 1
+
+
+def first_of_keys(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """Rows that a pass in ``order`` keeps: those that share no key with a row kept before them.
+
+    Null keys are shared by none. Columns: ``order`` and ``keys``. Of rows alike in them one counts; rows of equal
+    ``order`` go by their keys. In each round the rows that come first under all their keys are kept, and all rows
+    with one of their keys leave; a round is a combined minimum and two joins for each key. Keys that mostly name the
+    same rows, as addresses and article ids do, need a few rounds; at worst, a chain of rows that each share one key
+    with the next, half as many as the chain is long.
+    """
+    left = cut(rows.select(order, *keys).distinct())
+    kept = left.limit(0)
+    at = F.struct(order, *keys)
+    while left.take(1):
+        marked = left
+        for k in keys:
+            marked = marked.join(left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(at).alias(f"_low_{k}")), k, "left")
+        first = cut(marked.where(" AND ".join(f"({k} IS NULL OR _low_{k} = struct({', '.join([order, *keys])}))" for k in keys)).select(*left.columns))
+        kept = kept.union(first)
+        left = left.join(first.select(F.struct(*left.columns).alias("_s")), F.struct(*(left[c] for c in left.columns)).eqNullSafe(F.col("_s")), "left_anti")
+        for k in keys:
+            left = left.join(first.where(F.col(k).isNotNull()).select(k), k, "left_anti")
+        left = cut(left.select(order, *keys))
+    return kept
 
 
 def saved(articles: DataFrame, found: DataFrame, order: str, prefix: str = "speech_", ranges: int = 64) -> DataFrame:
-    """The store after an upsert: id, url, article_id, keywords.
+    """The store after an upsert: the columns of articles, among them id, url, article_id and keywords.
 
-    A found article whose url or article id is known adds its keywords to that one, in order. Others get new ids in
-    ``order``, a url once. New rows are numbered within ``ranges`` ranges of ``order``, so no task sorts all of them.
+    Found rows are taken in ``order``. One whose url, or else whose article id, is that of an article, be it of the
+    store or saved before from an earlier row, adds its keywords to that article, each once and in order; the
+    article keeps its own url and id. Any other row becomes an article with the next number. A null url or article id
+    matches nothing, and rows with neither are left out. Numbers are given within ``ranges`` ranges of ``order``, so
+    no task sorts all new rows; keywords of an article are combined before they meet.
     """
-    at = matched_hits(found, articles)
-    known = at.where("id is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(order, "keywords"))).alias("_k"))
-    more = F.flatten(F.transform("_k", lambda x: x["keywords"]))
-    old = articles.join(known, "id", "left").withColumn("keywords", F.when(F.col("_k").isNotNull(), F.array_union("keywords", more)).otherwise(F.col("keywords"))).drop("_k")
-    once = W.Window.partitionBy("url").orderBy(order)
-    new = at.where("id is null").withColumn("_r", F.row_number().over(once)).where("_r = 1")
+    known = lambda k, name: articles.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("id").alias(name))
+    own = found.select(order, "url", "article_id", "keywords").where("url IS NOT NULL OR article_id IS NOT NULL")
+    at = own.join(known("url", "_store_url"), "url", "left").join(known("article_id", "_store_id"), "article_id", "left")
+    new = first_of_keys(at.where("_store_url IS NULL AND _store_id IS NULL"), order, ["url", "article_id"])
+
     cuts = new.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.005) if ranges > 1 else []
     part = sum(((F.col(order) > F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    new = new.withColumn("_part", part).withColumn("_at", F.row_number().over(W.Window.partitionBy("_part").orderBy(order)))
-    sizes = dict(new.groupBy("_part").agg(F.count("*")).collect())  # one for each range
+    placed = new.withColumn("_part", part).withColumn("_at", F.row_number().over(W.Window.partitionBy("_part").orderBy(order, "url", "article_id")))
+    sizes = dict(new.groupBy(part.alias("_part")).agg(F.count("*")).collect())  # one for each range
     before = [(k, sum(n for j, n in sizes.items() if j < k)) for k in sizes]
     bases = articles.sparkSession.createDataFrame(before, "_part int, _base long")
-    number = F.col("_base") + F.col("_at") - 1 + F.lit(next_number(articles))
-    named = new.join(F.broadcast(bases), "_part").withColumn("id", F.concat(F.lit(prefix), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))))
-    return old.unionByName(named.select(*old.columns))
+    number = F.col("_base") + F.col("_at") - 1 + F.lit(next_number(articles, prefix=prefix))
+    name = F.concat(F.lit(prefix), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string")))
+    new = placed.join(F.broadcast(bases), "_part").select(order, "url", "article_id", name.alias("id"))
+
+    for k, name in (("url", "_new_url"), ("article_id", "_new_id")):
+        at = at.join(new.where(F.col(k).isNotNull()).select(k, F.col("id").alias(name), F.col(order).alias(f"{name}_at")), k, "left")
+    earlier = [F.when(F.col(f"{c}_at") <= F.col(order), F.col(c)) for c in ("_new_url", "_new_id")]
+    at = at.withColumn("id", F.coalesce("_store_url", earlier[0], "_store_id", earlier[1]))
+    words = at.select("id", order, F.posexplode("keywords").alias("_pos", "_word")).where("_word IS NOT NULL")
+    words = words.groupBy("id", "_word").agg(F.min(F.struct(order, "_pos")).alias("_first"))
+    words = words.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_word"))), lambda x: x["_word"]).alias("_more"))
+    all_ = articles.unionByName(new.drop(order), allowMissingColumns=True).join(words, "id", "left")
+    none = F.array().cast("array<string>")
+    return all_.withColumn("keywords", F.array_union(F.coalesce("keywords", none), F.coalesce("_more", none))).select(*articles.columns)

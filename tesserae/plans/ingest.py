@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import matching, retrieval
+from tesserae.operators import corpus, matching, retrieval
 from tesserae.plans.catalog import _CAP, _TOP, _top, query, table
 from tesserae.sources import pages
 
@@ -89,3 +89,16 @@ def recommend_with_evidence(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "vec_id").join(F.broadcast(candidates.select("vec_id")), "vec_id").select("vec_id", "text")
     out = matching.with_evidence(ranked, matching.evidence_ids(texts, items, "vec_id", "id", "at"), ["p1", "p2", "p3"], "vec_id")
     return retrieval.recommended(out).select("vec_id", "rank", "relevance", "reason", F.array_join("profile_ids", ",").alias("profile_ids"))
+
+
+# --- the article store -----------------------------------------------------------------------------------------
+
+
+@query()
+def article_identities(spark, sf_dir):
+    """Pages as found articles whose url is that of their host and whose article id is the number in it; every tenth is stored."""
+    number = F.nullif(F.regexp_extract("url", r"/(\d+)", 1), F.lit(""))
+    own = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", "//([^/?#]*)", 1)).alias("url"), number.alias("article_id"), F.split("url", "/").alias("keywords"))
+    stored = own.where("page_id % 10 = 0").select(F.concat(F.lit("speech_"), "page_id").alias("id"), "url", "article_id", F.slice("keywords", 1, 1).alias("keywords"))
+    out = corpus.saved(stored, own.where("page_id % 10 <> 0"), "page_id")
+    return out.withColumn("keywords", F.array_join("keywords", " "))

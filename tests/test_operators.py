@@ -328,4 +328,4 @@ def test_saved_numbers_and_merges(spark):
         "pos int, url string, article_id string, keywords array<string>",
     )
     got = {r.id: (r.url, r.keywords) for r in corpus.saved(store, found, "pos", ranges=2).collect()}
-    assert got == {"speech_007": ("u1", ["x", "y", "z"]), "speech_002": ("u2", []), "speech_008": ("u9", ["n"]), "speech_009": ("u5", ["k"])}
+    assert got == {"speech_007": ("u1", ["x", "y", "z"]), "speech_002": ("u2", []), "speech_008": ("u9", ["n", "m"]), "speech_009": ("u5", ["k"])}
