@@ -134,6 +134,13 @@ class ChunkIndex:
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(new, self._path("current"), options)
 
+    def restore(self, version: str | None) -> None:
+        """Name an earlier version again, or none."""
+        if version:
+            self._name(version)
+        else:
+            self._files.delete(self._path("current"), False)
+
     def tidy(self) -> list[str]:
         """Delete the versions that are not current, those of killed writes as well; returns their names."""
         now = self.version()

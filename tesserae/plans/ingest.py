@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import corpus, matching, retrieval
-from tesserae.plans.catalog import _CAP, _TOP, _top, query, table
-from tesserae.sources import pages
+from tesserae.functions import rules
+from tesserae.operators import cleaning, corpus, ingestion, matching, retrieval
+from tesserae.plans.catalog import _CAP, _LINES, _TOP, _top, query, table
+from tesserae.sources import pages, raw, state
 
 # --- pages -----------------------------------------------------------------------------------------------------
 
@@ -102,3 +103,65 @@ def article_identities(spark, sf_dir):
     stored = own.where("page_id % 10 = 0").select(F.concat(F.lit("speech_"), "page_id").alias("id"), "url", "article_id", F.slice("keywords", 1, 1).alias("keywords"))
     out = corpus.saved(stored, own.where("page_id % 10 <> 0"), "page_id")
     return out.withColumn("keywords", F.array_join("keywords", " "))
+
+
+# --- ingestion -------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT d.*, c.*, (SELECT count(DISTINCT doc_id) FROM labels WHERE toxic = 1) AS dropped FROM (SELECT count(*) AS documents, count(*) FILTER (doc_id % 7 <> 0) AS verified, count(*) = count(DISTINCT doc_id) AS unique_ids,
+ count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS runtime_documents FROM documents) d,
+(SELECT count(*) AS chunks, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS runtime_chunks,
+ count(*) FILTER (doc_id % 5 <> 0 OR contains(text, upper(p))) AS substrings, true AS unique_chunk_ids FROM ({_LINES}) JOIN documents USING (doc_id)) c""")
+def ingestion_preflight(spark, sf_dir):
+    """Every seventh hash is that of another text, and the lines of every fifth document are upper case."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("sha", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256))
+    lines = cleaning.paragraphs(F.col("text"), "\n+")
+    pieces = F.when(F.col("doc_id") % 5 == 0, F.transform(lines, F.upper)).otherwise(lines)
+    return ingestion.preflight_report(docs, pieces, "doc_id", "text", "sha", table(spark, sf_dir, "labels").where("toxic = 1"))
+
+
+@query("""SELECT doc_id, lang, source, sha256(regexp_replace(regexp_replace(CASE WHEN starts_with(b, '#') THEN regexp_replace(b, '^[^\\n]*\\n*', '') ELSE b END, '\\n+$', ''), '^$', '')) AS sha256
+FROM (SELECT doc_id, lang, source, regexp_replace(text, '^\\n+', '') AS b FROM documents)""")
+def raw_round_trip(spark, sf_dir):
+    """Every text as a raw file, its front matter written anew with other keywords, and read again."""
+    docs = table(spark, sf_dir, "documents")
+    record = {"id": F.col("doc_id").cast("string"), "source": F.col("source"), "origin": F.col("lang"), "url": F.lit(None).cast("string")}
+    first = raw.rendered_raw(record | {"title": F.lit("a: b")}, {}, F.col("text"))
+    first = F.regexp_replace(first, "\n# a: b\n\n", "\n")  # a file without a heading
+    again = raw.rewritten(first, record | {"title": F.lit("t")}, {"themes": F.array("lang")})
+    own = docs.select("doc_id", raw.parsed_raw(again).alias("f"))
+    field = lambda k: F.try_element_at("f.fields", F.lit(k))
+    return own.select("doc_id", field("origin").alias("lang"), field("source").alias("source"), F.sha2("f.body", 256).alias("sha256"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE event_type END AS event_type, CASE WHEN event_id % 5 = 4 THEN NULL ELSE CAST(regexp_extract(props, '[0-9]+') AS BIGINT) END AS k,
+ CASE WHEN event_id % 5 = 4 THEN 'bad_k' END AS quarantine FROM events WHERE event_id % 3 <> 2
+UNION ALL SELECT event_id, NULL, NULL, CASE WHEN event_id % 2 = 0 THEN 'not_json' ELSE 'no_list' END FROM events WHERE event_id % 3 = 2""")
+def state_records(spark, sf_dir):
+    """Events as JSON documents: lists, objects with a list, and some that are neither or hold a wrong type."""
+    events, n = table(spark, sf_dir, "events"), F.col("event_id")
+    k = F.when(n % 5 == 4, F.concat(F.lit('"x'), F.regexp_extract("props", "[0-9]+", 0), F.lit('"'))).otherwise(F.regexp_extract("props", "[0-9]+", 0))
+    item = F.concat(F.lit('{"event_type": "'), "event_type", F.lit('", "k": '), k, F.lit("}"))
+    text = F.when(n % 3 == 0, F.concat(F.lit("["), item, F.lit("]"))).when(n % 3 == 1, F.concat(F.lit('{"failures": ['), item, F.lit("]}")))
+    text = text.when(n % 2 == 0, F.concat(F.lit("[{"), "event_type")).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    own = state.records(events.select("event_id", text.alias("text")), "text", "failures", "event_type string, k long", ("event_type",))
+    return own.select("event_id", "event_type", "k", "quarantine")
+
+
+_ASSET_RULES = {
+    "title": {"missing": rules.present, "unknown": rules.one_of("en", "fr", "de")},
+    "text": {"missing": rules.present, "empty": rules.least(1), "long": rules.most(200)},
+    "ids": {"none": rules.items(1)},
+}
+_BAD = "CASE WHEN lang IS NULL THEN 'title_missing' WHEN lang NOT IN ('en', 'fr', 'de') THEN 'title_unknown' END, CASE WHEN p = '' THEN 'text_empty' WHEN length(p) > 200 THEN 'text_long' END, CASE WHEN NOT contains(p, 'the') THEN 'ids_none' END"
+
+
+@query(f"""SELECT doc_id, sum(CASE WHEN bad = '' THEN 1 ELSE 0 END)::INT AS n_valid, coalesce(string_agg(CASE WHEN bad <> '' THEN (i - 1) || ':' || bad END, ',' ORDER BY i), '') AS reasons FROM
+(SELECT doc_id, i, concat_ws('|', {_BAD}) AS bad FROM (SELECT doc_id, lang, parts[i] AS p, i FROM (SELECT doc_id, lang, string_split(text, E'\\n') AS parts, unnest(generate_series(1, len(string_split(text, E'\\n')))) AS i FROM documents))) GROUP BY 1""")
+def valid_assets(spark, sf_dir):
+    """Lines as generated assets: which hold, and what is wrong with the others."""
+    asset = lambda p: F.struct(F.col("lang").alias("title"), p.alias("text"), F.when(F.contains(p, F.lit("the")), F.array(F.lit("a"))).alias("ids"))
+    own = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), asset).alias("assets"))
+    told = F.transform(rules.with_reasons(F.col("assets"), _ASSET_RULES), lambda x: F.concat_ws(":", x["pos"].cast("string"), F.array_join(x["reasons"], "|")))
+    return own.select("doc_id", F.size(rules.valid(F.col("assets"), _ASSET_RULES)).alias("n_valid"), F.array_join(told, ",").alias("reasons"))

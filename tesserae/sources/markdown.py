@@ -29,6 +29,27 @@ def front_matter(content: Column) -> Column:
     return F.map_from_entries(F.transform(joined, pair))
 
 
+def stray_line(content: Column) -> Column:
+    """The first line of the front matter that is no key, no comment, no item of a list begun just above and no
+    continuation of a text value; null where there is none."""
+    text = F.regexp_replace(F.regexp_replace(content, "^﻿", ""), "\r\n?", "\n")
+    head = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---(?:\n|$)", 1)
+    value = lambda s: F.trim(F.regexp_extract(s, r"^[A-Za-z0-9_]+\s*:\s*(.*)$", 1))
+
+    def step(a: Column, s: Column) -> Column:
+        kind = F.when(value(s) == "", "list").when(value(s).isin("null", "~", "true", "false"), "other").otherwise("text")
+        is_key, is_item = s.rlike(r"^[A-Za-z0-9_]+\s*:"), s.rlike(r"^\s*-")
+        item = is_item & s.rlike(r"^\s+-\s+") & (a["kind"] == "list")
+        goes_on = ~is_item & (a["kind"] == "text")
+        idle = (F.trim(s) == "") | s.rlike(r"^\s*#")
+        after = F.when(idle, F.when(a["kind"] == "list", "other").otherwise(a["kind"])).when(is_key, kind).otherwise(a["kind"])
+        bad = F.coalesce(a["bad"], F.when(~(idle | is_key | item | goes_on), s))
+        return F.struct(after.alias("kind"), bad.alias("bad"))
+
+    start = F.struct(F.lit("other").alias("kind"), F.lit(None).cast("string").alias("bad"))
+    return F.aggregate(F.split(head, "\n"), start, step, lambda a: a["bad"])
+
+
 def scalar(value: Column) -> Column:
     """A front-matter value as text: no quotes, null for ``null``."""
     inner = F.regexp_extract(value, r'(?s)^"(.*)"$', 1)
