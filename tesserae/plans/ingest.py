@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tesserae.functions import rules
 from tesserae.operators import cleaning, corpus, ingestion, matching, retrieval
 from tesserae.plans.catalog import _CAP, _LINES, _TOP, _top, query, table
+from tesserae.plans.reviews import workspace_actions
 from tesserae.sources import pages, raw, state
+from tesserae.streaming import sessions
 
 # --- pages -----------------------------------------------------------------------------------------------------
 
@@ -165,3 +167,36 @@ def valid_assets(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), asset).alias("assets"))
     told = F.transform(rules.with_reasons(F.col("assets"), _ASSET_RULES), lambda x: F.concat_ws(":", x["pos"].cast("string"), F.array_join(x["reasons"], "|")))
     return own.select("doc_id", F.size(rules.valid(F.col("assets"), _ASSET_RULES)).alias("n_valid"), F.array_join(told, ",").alias("reasons"))
+
+
+# --- the workspace with its content ----------------------------------------------------------------------------
+
+
+def session_actions(spark, sf_dir):
+    """The actions of ``workspace_actions`` with what they are about: items whose titles and texts follow from the event."""
+    own = workspace_actions(spark, sf_dir)
+    some = F.greatest("n", F.lit(1))
+    text = F.when(F.col("incomplete"), "【引用】 q").otherwise(F.concat(F.lit("own "), "event_id"))
+    item = lambda i: F.struct(
+        F.lit("d").alias("dimension"), F.concat(F.lit("a"), i.cast("string")).alias("id"), F.concat(F.lit("t"), "event_id").alias("value"), text.alias("text"),
+        F.lit("model").alias("origin"), F.lit("medium").alias("confidence"),
+    )
+    loaded = F.col("kind").isin("ASSETS_LOADED", "PROFILE_GENERATED")
+    items = F.transform(F.sequence(F.lit(1), F.when(loaded, 2).otherwise(some)), item)
+    brought = F.when((F.col("n") == 0) & ~loaded, F.slice(items, 1, 0)).otherwise(items)
+    listed = F.transform(F.slice(F.sequence(F.lit(0), F.greatest("n", F.lit(1))), F.lit(1), F.col("n")), lambda k: F.concat(F.lit("c"), k.cast("string")))
+    ids = F.when(F.col("kind") == "RECOMMENDATIONS_LOADED", listed).otherwise(F.col("ids"))
+    about = F.when(F.col("kind").isin("UPDATE_PROFILE_ITEM", "UPDATE_ASSET", "REMOVE_ASSET"), "a1")
+    value = F.when(F.col("kind").isin("UPDATE_PROFILE_ITEM", "UPDATE_ASSET"), F.concat(F.lit("e"), "event_id")).otherwise(F.col("arg"))
+    return own.select(
+        "user_id", "event_id", "kind", F.lit("d").alias("dimension"), about.alias("id"), value.alias("value"),
+        F.when(F.col("kind") == "MATERIAL_LOADED", F.concat(F.lit("m"), "event_id")).alias("text"), ids.alias("ids"), brought.alias("items"),
+    )
+
+
+@query()
+def session_contents(spark, sf_dir):
+    out = sessions.folded(session_actions(spark, sf_dir), "user_id", "event_id")
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["id"], x["value"], x["text"])), "|")
+    lists = {c: F.array_join(c, ",") for c in ("recommendations", "selected")} | {c: told(c) for c in ("profile", "assets")}
+    return out.withColumns(lists)

@@ -59,11 +59,11 @@ def _after(s: Column, a: Column) -> Column:
     back = toggle & s["viewing"].isin("assets", "material") & (had | (F.size(chosen) == 0))
     restart = made | edit
     rules = {
-        "profile": [(made, F.lit(True))],
+        "profile": [(made | good_profile, F.lit(True))],
         "profile_confirmed": [(restart, F.lit(False)), (good_profile, F.lit(True))],
         "recommendations": [(restart, F.lit(0)), (listed, n)],
         "selected": [(restart | listed, empty), (toggle, chosen)],
-        "assets": [(restart | listed | toggle, F.lit(None).cast("array<string>")), (loaded, a["items"]), (touched & is_("REMOVE_ASSET"), F.array_remove(s["assets"], arg))],
+        "assets": [(restart | listed | toggle, F.lit(None).cast("array<string>")), (loaded, a["items"]), (touched & is_("REMOVE_ASSET"), F.array_remove(s["assets"], arg)), (good_assets & a["items"].isNotNull(), a["items"])],
         "assets_confirmed": [(restart | listed | toggle | loaded | touched, F.lit(False)), (good_assets, F.lit(True))],
         "material": [(restart | listed | toggle | loaded | touched | task, F.lit(False)), (written, F.lit(True))],
         "viewing": [(restart, F.lit("profile")), (listed | back, F.lit("speeches")), (loaded, F.lit("assets")), (good_assets, F.lit("material")), (shown, arg)],
@@ -92,7 +92,8 @@ def workspaces(actions: DataFrame, session: str, order: str) -> DataFrame:
 
     ``actions`` has kind, arg (a chunk, an asset, a step, a message or a request), ids (the chunks that an answer was
     asked for), items (asset ids of an answer), n (how many items it confirms or brings) and incomplete. What is a
-    refused confirmation, or an answer to an older selection, leaves a message and changes nothing else. A session is
+    refused confirmation, or an answer to an older selection, leaves a message and changes nothing else; a confirmation
+    that holds stores the assets it brings. ``sessions`` keeps the content as well. A session is
     one person's review, so its actions are held in one row. An empty table gives no rows.
     """
     fields = ["kind", "arg", "ids", "items", "n", "incomplete"]

@@ -86,7 +86,7 @@ def test_workspace_fold(spark):
             drop(s, 0)
             s.update(viewing="profile", error=None)
         elif kind == "CONFIRM_PROFILE":
-            s.update(profile_confirmed=True, notice=None, error=None) if a.n else s.update(error="empty_profile")
+            s.update(profile=True, profile_confirmed=True, notice=None, error=None) if a.n else s.update(error="empty_profile")
         elif kind == "RECOMMENDATIONS_LOADED":
             drop(s, 1)
             s.update(pending=None, recommendations=a.n, viewing="speeches", notice=None, error=None)
@@ -106,7 +106,7 @@ def test_workspace_fold(spark):
             s.update(assets=[x for x in s["assets"] if kind == "UPDATE_ASSET" or x != a.arg], assets_confirmed=False, material=False, error=None)
         elif kind == "CONFIRM_ASSETS":
             if a.n and not a.incomplete:
-                s.update(assets_confirmed=True, viewing="material", notice=None, error=None)
+                s.update(assets=list(a["items"]), assets_confirmed=True, viewing="material", notice=None, error=None)
             else:
                 s["error"] = "incomplete_assets" if a.n else "no_assets"
         elif kind == "SET_SCENARIO":
