@@ -45,9 +45,8 @@ def materialized(assets: DataFrame, selected: DataFrame, chunk_id: str, text: st
 
 def material_bodies(rows: DataFrame, body: str, quotes_by_id: str, quotes: str, least: int = 4) -> DataFrame:
     """Bodies without leaks, their quote markers filled and any quote that is still missing added at the end."""
-    mark = F.regexp_replace(F.col(body), r"\[\[QUOTE:", "\x1dQUOTE:")
-    safe = rows.withColumn("_safe", strip_fragments(mark, F.col(quotes), least))
-    safe = safe.withColumn("_whole", markers_replaced(F.regexp_replace("_safe", "\x1dQUOTE:", "[[QUOTE:"), F.col(quotes_by_id)))
+    safe = rows.withColumn("_safe", strip_fragments(F.col(body), F.col(quotes), least))
+    safe = safe.withColumn("_whole", markers_replaced(F.col("_safe"), F.col(quotes_by_id)))
     missing = F.filter(quotes, lambda q: ~F.contains(F.col("_whole"), q))
     return safe.withColumn(body, filled(F.col("_whole"), missing)).drop("_safe", "_whole")
 
