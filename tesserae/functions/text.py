@@ -68,8 +68,8 @@ def blocks(x: Column, n: int) -> Column:
 
 def first_sentence(x: Column, ends: str = "。！？\n") -> Column:
     """The first part between sentence ends that is not blank, else the whole; trimmed."""
-    parts = F.filter(F.split(unicode_trim(x), f"[{ends}]"), lambda p: F.length(unicode_trim(p)) > 0)
-    return unicode_trim(F.coalesce(F.try_element_at(parts, F.lit(1)), x))
+    first = unicode_trim(F.regexp_extract(x, f"(?U)^[{ends}\\s﻿]*([^{ends}]+)", 1))
+    return F.when(first != "", first).otherwise(unicode_trim(x))
 
 
 def trimmed_values(values: Column) -> Column:

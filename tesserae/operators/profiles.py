@@ -50,14 +50,15 @@ def profiled(
     description implies, then a fallback. All of it built-in functions, no shuffle."""
     none = F.lit(None).cast("string")
     name, industry, needs = (x if x is not None else none for x in (name, industry, needs))
-    text = unicode_trim(F.coalesce(F.col(description), F.lit("")))
-    given = trimmed_values(techs if techs is not None else F.array().cast("array<string>"))
+    # columns of their own, so that each is computed once a row
+    bound = rows.withColumns({"_text": unicode_trim(F.coalesce(F.col(description), F.lit(""))), "_given": trimmed_values(techs if techs is not None else F.array().cast("array<string>"))})
+    bound = bound.withColumn("_sentence", first_sentence(F.col("_text"), ends))
+    text, given, sentence = F.col("_text"), F.col("_given"), F.col("_sentence")
     has = lambda x: F.coalesce(x != "", F.lit(False))
     implied = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t) & ~F.array_contains(given, t))
     tech = F.concat(
         F.transform(given, lambda t: _item(t, "explicit", "high")), F.transform(implied, lambda t: _item(t, "inferred", "medium"))
     )
-    sentence = first_sentence(text, ends)
     stated = _one(industry, "explicit", "high", has(industry))
     found = {
         "positioning": ("pos", F.concat(_one(name, "explicit", "high", has(name)), F.array(_item(sentence, "inferred", "medium")))),
@@ -75,7 +76,7 @@ def profiled(
             ),
         )
 
-    return rows.withColumns({k: numbered(*v) for k, v in found.items()})
+    return bound.withColumns({k: numbered(*v) for k, v in found.items()}).drop("_text", "_given", "_sentence")
 
 
 def profile_items() -> Column:
