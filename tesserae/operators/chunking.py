@@ -9,15 +9,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import numbered_id, unicode_trim
+from tesserae.functions.text import numbered_id, unicode_trim, utf16_length
 
 
 def paragraph_pieces(text: Column, most: int = 800, between: str = "\n\n+", ends: str = "。！？!?") -> Column:
-    """One piece for each paragraph; a longer one is packed by sentences, and a longer sentence is cut."""
-    stops = re.escape(ends)
+    """One piece for each paragraph; a longer one is packed by sentences, and a longer sentence is cut.
+
+    Lengths are in UTF-16 units, of which a character beyond the basic plane has two; a cut leaves it whole.
+    """
+    stops, size = re.escape(ends), utf16_length
 
     def slices(sentence: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(sentence), F.lit(most)), lambda i: F.substring(sentence, i, F.lit(most)))
+        plain = F.transform(F.sequence(F.lit(1), F.length(sentence), F.lit(most)), lambda i: F.substring(sentence, i, F.lit(most)))
+
+        def step(done: Column, c: Column) -> Column:
+            last = F.element_at(done, -1)
+            grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, c)))
+            return F.when(size(last) + size(c) <= most, grown).otherwise(F.concat(done, F.array(c)))
+
+        wide = F.aggregate(F.split(sentence, ""), F.array(F.lit("")), step)
+        return F.when(size(sentence) == F.length(sentence), plain).otherwise(wide)
 
     def packed(paragraph: Column) -> Column:
         found = F.filter(F.regexp_extract_all(paragraph, F.lit(f"([^{stops}]+[{stops}]*)"), F.lit(1)), lambda s: F.length(unicode_trim(s)) > 0)
@@ -27,8 +38,8 @@ def paragraph_pieces(text: Column, most: int = 800, between: str = "\n\n+", ends
         def step(acc: Column, s: Column) -> Column:
             done, now = acc["done"], acc["now"]
             closed = F.when(now != "", F.concat(done, F.array(now))).otherwise(done)
-            over = F.length(s) > most
-            full = F.length(now) + F.length(s) > most
+            over = size(s) > most
+            full = size(now) + size(s) > most
             return F.struct(
                 F.when(over, F.concat(closed, slices(s))).when(full, closed).otherwise(done).alias("done"),
                 F.when(over, F.lit("")).when(full, s).otherwise(F.concat(now, s)).alias("now"),
@@ -38,7 +49,7 @@ def paragraph_pieces(text: Column, most: int = 800, between: str = "\n\n+", ends
         return F.aggregate(found, start, step, lambda a: F.when(a["now"] != "", F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
 
     units = F.filter(F.split(text, between), lambda p: F.length(unicode_trim(p)) > 0)
-    return F.flatten(F.transform(units, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(packed(p))))
+    return F.flatten(F.transform(units, lambda p: F.when(size(p) <= most, F.array(p)).otherwise(packed(p))))
 
 
 def paragraph_chunks(docs: DataFrame, id_col: str, text: str, most: int = 800, between: str = "\n\n+", ends: str = "。！？!?") -> DataFrame:

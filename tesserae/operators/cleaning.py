@@ -53,6 +53,30 @@ def classify(paragraph: Column, title: Column | None = None, rules: list[tuple[s
     return case.otherwise(out("keep", None))
 
 
+# Noise that cleaning should have taken out, and titles of news rather than of speeches.
+INLINE_NOISE = r"（新华社[^）]{0,40}电）|/摄|新华社记者|《\s*人民日报\s*》|全文如下"
+NEWS_TITLE = "强调|主持|在京召开|作出重要指示|李克强主持|看望慰问"
+
+
+def review_flags(title: Column | None, body: Column, kept: Column, least: int = 200, noise: str = INLINE_NOISE, news: str = NEWS_TITLE) -> Column:
+    """Why a person should look at a cleaned document: empty_body or short_body, inline_noise_left, news_like_title.
+
+    White space of any script does not count. Null counts as empty.
+    """
+    size = measure(body)
+    empty = (kept == 0) | (size == 0)
+    flags = [F.when(empty, "empty_body").when(size < least, "short_body"), F.when(body.rlike(f"(?U){noise}"), "inline_noise_left")]
+    if title is not None:
+        flags.append(F.when(title.rlike(news), "news_like_title"))
+    return F.array_compact(F.array(*flags))
+
+
+def run_summary(results: DataFrame, error: str = "error", flags: str = "flags") -> DataFrame:
+    """One row for a run: how many documents are ok, failed, and are to be reviewed (ok, with a flag)."""
+    ok = F.col(error).isNull()
+    return results.agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("errors"), F.count_if(ok & (F.size(flags) > 0)).alias("review"))
+
+
 def cleaned(docs: DataFrame, text: str, title: str | None = None, between: str = BLANK_LINES, rules=RULES, least: int = 200) -> DataFrame:
     """Adds body, note, sha256, removed (reason, text), paragraphs_in, paragraphs_kept, chars_in, chars_out and flags.
 
@@ -80,12 +104,7 @@ def cleaned(docs: DataFrame, text: str, title: str | None = None, between: str =
             "paragraphs_kept": F.size(of("keep")),
             "chars_in": F.length(F.coalesce(F.col(text), F.lit(""))),
             "chars_out": F.length("body"),
-            "flags": F.array_compact(
-                F.array(
-                    F.when(F.col("body") == "", "empty_body"),
-                    F.when((F.col("body") != "") & (measure(F.col("body")) < least), "short_body"),
-                )
-            ),
+            "flags": review_flags(F.col(title) if title else None, F.col("body"), F.size(of("keep")), least),
         }
     )
     return out.drop("_parts")

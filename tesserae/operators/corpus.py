@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tesserae.functions.lineage import cut
+from tesserae.functions.text import measure
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
@@ -74,6 +75,21 @@ def quota_status(counts: DataFrame, targets: DataFrame, key: str, n: str = "n")
     return own.withColumn("short", short).withColumn("status", F.when(short == 0, "OK").otherwise(F.concat(F.lit("不足 "), short.cast("string"))))
 
 
+def store_stats(articles: DataFrame, failures: DataFrame, before: int = 0) -> DataFrame:
+    """One row: saved articles, failures, failures since ``before``, and articles without a date or an origin."""
+    none = lambda c: F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) == "").alias(f"missing_{c}")
+    new = F.greatest(F.lit(0).cast("long"), F.col("failures") - before).alias("new_failures")
+    failed = failures.agg(F.count("*").alias("failures")).select("failures", new)
+    return articles.agg(F.count("*").alias("saved"), none("date"), none("origin")).join(F.broadcast(failed), how="cross")  # one row with one row
+
+
+def theme_status(articles: DataFrame, themes: DataFrame, tags: str = "themes") -> DataFrame:
+    """Each theme (theme, target) with primary (articles that name it first), tagged (that name it), short and status."""
+    counts = tag_counts(articles, tags, "theme").select("theme", F.col("hits").alias("tagged"), F.col("primary_hits").alias("n"))
+    out = quota_status(counts, themes, "theme").withColumnRenamed("n", "primary")
+    return out.withColumn("tagged", F.coalesce("tagged", F.lit(0)))
+
+
 def keyword_cap(target: int, keywords: int, raised: bool = False) -> int:
     """How many documents a keyword of a theme may bring."""
     if raised:
@@ -124,7 +140,7 @@ def first_present(rows: DataFrame, key: str, value: str, order: str) -> DataFram
 
 def chunk_anomalies(chunks: DataFrame, key: str, text: str, least: int, most: int) -> DataFrame:
     """Chunks of each key that are empty, shorter or longer than the bounds (white space does not count), and their sum."""
-    size = F.length(F.regexp_replace(text, r"\s", ""))
+    size = measure(F.col(text))
     kinds = {"empty": size == 0, "below_min": (size > 0) & (size < least), "over_max": size > most}
     own = chunks.groupBy(key).agg(*(F.count_if(x).alias(name) for name, x in kinds.items()))
     return own.withColumn("anomalies", sum((F.col(x) for x in kinds), F.lit(0)))

@@ -38,6 +38,34 @@ def submitted_text(text: Column) -> Column:
     return F.concat(unicode_trim(own_part(text)), quote_part(text))
 
 
+def normalized_assets(assets: Column) -> Column:
+    """Assets as they are submitted: titles and own words trimmed, quotes byte for byte as they were."""
+    return F.transform(assets, lambda a: a.withField("title", unicode_trim(a["title"])).withField("text", submitted_text(a["text"])))
+
+
+def updated_text(text: Column, own: Column) -> Column:
+    """An asset's text with other words of its own before the same quotes."""
+    return F.concat(own, quote_part(text))
+
+
+def same_ids(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same ids, each as often, in any order; null is an empty list."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.coalesce(a, none)) == F.array_sort(F.coalesce(b, none))
+
+
+# What is shown for a date that is not known, and of a text that only demonstrates.
+NO_DATE, DEMO = "日期待考", "（演示占位文本）"
+
+
+def provenances(refs: DataFrame, chunks: DataFrame, chunk_id: str, demo: str | None = None) -> DataFrame:
+    """References with ``shown``: title, source and date of their chunk, or its id where the chunk is not known."""
+    parts = F.concat_ws(" · ", "title", "source", F.coalesce("date", F.lit(NO_DATE)))
+    shown = F.concat(parts, F.when(F.col(demo), DEMO).otherwise("")) if demo else parts
+    known = chunks.select(F.col(chunk_id), shown.alias("_shown"))
+    return refs.join(known, chunk_id, "left").withColumn("shown", F.coalesce("_shown", chunk_id)).drop("_shown")
+
+
 def fixed(x: Column, digits: int = 4) -> Column:
     return F.format_string(f"%.{digits}f", x.cast("double"))
 

@@ -200,3 +200,30 @@ def session_contents(spark, sf_dir):
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["id"], x["value"], x["text"])), "|")
     lists = {c: F.array_join(c, ",") for c in ("recommendations", "selected")} | {c: told(c) for c in ("profile", "assets")}
     return out.withColumns(lists)
+
+
+# --- reviews of a run ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN s = 0 THEN 'empty_body' WHEN s < 300 THEN 'short_body' END, CASE WHEN regexp_matches(text, '\\|\\s|tion,') THEN 'inline_noise_left' END, CASE WHEN regexp_matches(a, '^The|er$') THEN 'news_like_title' END) AS flags
+FROM (SELECT doc_id, text, string_split(text, E'\\n')[1] AS a, length(regexp_replace(text, '\\s', '', 'g')) AS s FROM documents)""")
+def review_reasons(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    flags = cleaning.review_flags(F.get(F.split("text", "\n"), 0), F.col("text"), F.lit(1), 300, "\\|\\s|tion,", "^The|er$")
+    return docs.select("doc_id", F.array_join(flags, ",").alias("flags"))
+
+
+@query("SELECT count(*) FILTER (error IS NULL) AS ok, count(*) FILTER (error IS NOT NULL) AS errors, count(*) FILTER (error IS NULL AND length(text) < 300) AS review FROM (SELECT text, CASE WHEN toxic = 1 THEN 'toxic' END AS error FROM documents LEFT JOIN labels USING (doc_id))")
+def run_summary(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").alias("error"))
+    flags = F.array_compact(F.array(F.when(F.length("text") < 300, "short")))
+    return cleaning.run_summary(table(spark, sf_dir, "documents").join(labels, "doc_id", "left").withColumn("flags", flags))
+
+
+@query("""SELECT theme, target, count(a) FILTER (lang = theme) AS "primary", count(a) AS tagged, greatest(target - count(a) FILTER (lang = theme), 0) AS short,
+ CASE WHEN count(a) FILTER (lang = theme) >= target THEN 'OK' ELSE '不足 ' || (target - count(a) FILTER (lang = theme)) END AS status
+FROM (SELECT theme, CAST(100 AS BIGINT) AS target FROM (VALUES ('en'), ('fr'), ('none'), ('src1')) v(theme)) t LEFT JOIN (SELECT doc_id AS a, lang, source FROM documents) d ON d.lang = theme OR d.source = theme GROUP BY 1, 2""")
+def theme_status(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.array("lang", "source").alias("themes"))
+    themes = spark.createDataFrame([(t, 100) for t in ("en", "fr", "none", "src1")], "theme string, target long")
+    return corpus.theme_status(docs, themes)

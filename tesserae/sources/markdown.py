@@ -88,6 +88,19 @@ def rendered(title: Column, text: Column, scalars: dict[str, Column], lists: dic
     return F.concat(head, F.lit("\n\n# "), title, F.lit("\n\n"), text, F.lit("\n"))
 
 
-def write_chunks(chunks: DataFrame, path: str, by: str) -> None:
-    """One folder of JSON lines for each document; only those of the given rows are replaced."""
+def write_chunks(chunks: DataFrame, path: str, by: str, dropped: DataFrame | None = None) -> int:
+    """One folder of JSON lines for each document; only those of the given rows are replaced.
+
+    Then the folders of the ids in ``dropped`` go that are still there; others are not looked at. Returns how many.
+    """
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
+    if dropped is None:
+        return 0
+    spark = chunks.sparkSession
+    jvm = spark.sparkContext._jvm
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = 0
+    for row in dropped.select(F.col(by).cast("string")).where(F.col(by).isNotNull()).distinct().toLocalIterator():
+        gone += bool(files.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={escape(row[0])}"), True))
+    return gone

@@ -23,6 +23,26 @@ def furthest(state: Column) -> Column:
     return F.coalesce(there, F.when(state["recommendations"] > 0, "speeches").when(state["profile"], "profile").otherwise("input"))
 
 
+# What a workflow declares of its progress, in order.
+WORKFLOW_STAGES = [
+    "PROFILE_DRAFT", "PROFILE_CONFIRMED", "RECOMMENDATIONS_READY", "SPEECHES_SELECTED", "ASSETS_DRAFT", "ASSETS_CONFIRMED", "SCENARIO_DEFINED", "MATERIAL_READY",
+]
+
+
+def workflow_stage(state: Column, scenario: Column | None = None) -> Column:
+    """The last declared stage that a workspace has reached with all before it; null before there is a profile."""
+    chosen = scenario if scenario is not None else F.when(state["material"], "one")
+    reached = [
+        state["profile"], state["profile_confirmed"], state["recommendations"] > 0, F.size(state["selected"]) > 0, state["assets"].isNotNull(), state["assets_confirmed"],
+        chosen.isNotNull(), state["material"],
+    ]
+    out, so_far = F.lit(None).cast("string"), F.lit(True)
+    for name, there in zip(WORKFLOW_STAGES, reached, strict=True):
+        so_far = so_far & F.coalesce(there, F.lit(False))
+        out = F.when(so_far, F.lit(name)).otherwise(out)
+    return out
+
+
 def can_view(state: Column, step: Column) -> Column:
     order = F.array(*map(F.lit, STEPS))
     return F.array_position(order, step) <= F.array_position(order, furthest(state))
