@@ -53,17 +53,26 @@ def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the rows with the k largest inner products, ties at the end included, none below ``least``."""
-    s = np.round(q @ x.T, 12)  # equal vectors give equal scores wherever they stand in a matrix
+    """For each query the rows with the k largest inner products, ties to the smaller id, none below ``least``.
+
+    A matrix product finds the rows that come near; their scores are then summed in the order of the components, as
+    they are at the end, so equal vectors have equal scores wherever they stand. What counts as near follows from the
+    rounding of a product of these lengths, so vectors of any scale are told apart.
+    """
+    s = q @ x.T
+    slack = 8 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
     for r in range(len(q)):
-        own = np.flatnonzero(s[r] >= least[r])
+        own = np.flatnonzero(s[r] >= least[r] - slack[r])
         if len(own) > k:
             last = np.partition(s[r][own], len(own) - k)[len(own) - k]
-            own = own[s[r][own] >= last]
-            if len(own) > k:  # ties: the smaller ids
-                own = own[np.lexsort((ids[own], -s[r][own]))[:k]]
+            own = own[s[r][own] >= last - 2 * slack[r]]
+        exact = np.cumsum(x[own] * q[r], axis=1)[:, -1]
+        own, exact = own[exact >= least[r]], exact[exact >= least[r]]
+        if len(own) > k:
+            first = np.lexsort((ids[own], -exact))[:k]
+            own, exact = own[first], exact[first]
         if len(own):
-            yield r, own, s[r][own]
+            yield r, own, exact
 
 
 FOUND = "query_uid long, uid long, vec_id long, score double"

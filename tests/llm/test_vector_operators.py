@@ -48,6 +48,20 @@ def test_search(spark, vectors):
     assert vector_search.search(vectors.where("vec_id = 0"), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e-7, 1e7, 1e-160])
+def test_search_at_any_scale(spark, scale):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 16)) * scale
+    x[40:50] = x[7]  # equal scores go by id
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in vector_search.search(table, lambda i: i % 20 == 0, 12, block=8).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    score = lambda a, b: sum((float(p * q) for p, q in zip(a, b, strict=True)), 0.0)
+    want = {q: sorted((k for k in range(60) if k != q), key=lambda k, q=q: (-score(x[q], x[k]), k))[:12] for q in (0, 20, 40)}
+    assert {q: [r[k] for k in sorted(r)] for q, r in got.items()} == want
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_near_vectors(vectors, monkeypatch, block):
     monkeypatch.setattr(vector_dedup, "BLOCK", block)
