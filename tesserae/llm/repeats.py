@@ -19,7 +19,7 @@ BLOCK = 1 << 20  # bytes that are parsed at once
 FLUSH = 300_000  # phrases that are combined before they are sent
 NO_ID = (1 << 63) - 1
 
-PIECE = "key long, phrase long, d long, th int, lo int, c int"
+PIECE = "key long, phrase long, d long, th long, lo int, c int"
 
 
 def _rolling(b: np.ndarray) -> np.ndarray:
@@ -158,7 +158,9 @@ def _phrases(size: int, hot):
                     h = mixed((x["sums"][at + size] - x["sums"][at]) * x["inverse"][at] + np.uint64(size)).astype(np.int64)
                     lo = np.repeat(x["lo"][is_hot], c) + step
                     one = np.ones(len(h), np.int64)
-                    parts.append((h, 0 * one, np.repeat(d[is_hot], c), np.repeat(th[is_hot], c), lo, one))
+                    windows = np.lib.stride_tricks.sliding_window_view(x["bytes"], size)
+                    second = np.concatenate([_second_hash(windows[at[a : a + 20_000]]) for a in range(0, len(at), 20_000)])
+                    parts.append((h, second, np.repeat(d[is_hot], c), np.repeat(th[is_hot], c), lo, one))
                     n += len(h)
                 if n > FLUSH:
                     yield from _send(parts, size)
@@ -238,7 +240,7 @@ def _dictionary(size: int):
             )
         d, th, lo, end = _spans(*(np.concatenate(x) for x in zip(*out, strict=True)))
         zero = np.zeros(len(d), np.int64)
-        yield pd.DataFrame({"key": zero, "phrase": zero, "d": d, "th": th, "lo": lo, "c": -end}).astype({"th": "int32", "lo": "int32", "c": "int32"})
+        yield pd.DataFrame({"key": zero, "phrase": zero, "d": d, "th": th, "lo": lo, "c": -end}).astype({"lo": "int32", "c": "int32"})
 
     return _sorted_groups(work)
 
@@ -290,7 +292,7 @@ def _suffixes(size: int, most: int = 150_000):
         edges += [len(key)] if edges[-1] != len(key) else []
         for a, z in zip(edges, edges[1:], strict=False):
             d, th, lo_, end = _spans(*resolve(g.iloc[a:z]))
-            yield pd.DataFrame({"d": d, "th": th, "lo": lo_, "c": -end}).astype({"th": "int32", "lo": "int32", "c": "int32"})
+            yield pd.DataFrame({"d": d, "th": th, "lo": lo_, "c": -end}).astype({"lo": "int32", "c": "int32"})
 
     return _sorted_groups(work)
 
@@ -314,6 +316,27 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _assert_apart(docs: DataFrame) -> None:
+    """Raise where two texts of one id have the same 64-bit hash: a second hash, of 64 other bits, tells them apart."""
+    other = F.xxhash64(F.lit(NO_ID), F.reverse("text"), F.octet_length("text"))
+    twice = docs.groupBy("d", "th").agg(F.min(other).alias("low"), F.max(other).alias("high")).where("low <> high")
+    if twice.take(1):
+        raise ValueError("two texts of one id have the same hash; give the rows of this table different ids")
+
+
+def _second_hash(windows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each window's bytes that shares nothing with the rolling one."""
+    size = windows.shape[1]
+    rows = np.zeros((len(windows), -(-size // 8) * 8), np.uint8)
+    rows[:, :size] = windows
+    words = rows.view(np.uint64)
+    salt = np.random.default_rng(9).integers(0, 1 << 64, words.shape[1], np.uint64)
+    out = np.zeros(len(words), np.uint64)
+    for k in range(words.shape[1]):
+        out += mixed(words[:, k] + salt[k])
+    return mixed(out).astype(np.int64)
+
+
 def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every byte covered by a ``size``-byte string that also starts earlier in the corpus.
 
@@ -327,15 +350,18 @@ def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", tex
     phrases are spread window by window, so no shuffle key holds more rows than there are tasks and no group
     more than a small share of the documents.
 
-    Null or empty text: no bytes. Rows with one id and one text count as one document and all get its result; one
-    id with several texts is ordered by text hash. Null ids come last. ``size`` must be more than 32.
+    Equal phrases, and equal windows of frequent triggers, meet by 128 bits and their bytes are not compared; what
+    meets by fewer bits is compared byte by byte. Null or empty text: no bytes. Rows with one id and one text count
+    as one document and all get its result; one id with several texts is ordered by their 64-bit hash, and should two
+    of them share it, the job fails rather than lose a text. Null ids come last. ``size`` must be more than 32.
     """
     if size <= GRAM:
         raise ValueError(f"size must be more than {GRAM}")
     spark, parts = docs.sparkSession, width(docs.sparkSession)
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumns({"d": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.hash("text")})
+    docs = docs.withColumns({"d": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")})
+    _assert_apart(docs)
     long_ = docs.where(F.octet_length("text") >= size)
     hot = spark.sparkContext.broadcast(hot_triggers(long_, size))
     pieces = long_.select("d", "th", "text").mapInPandas(_phrases(size, hot), PIECE)
@@ -344,9 +370,9 @@ def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", tex
     asked = entries.where("c > 0").groupBy("d", "th").agg(F.collect_list(F.struct("key", "lo", "c")).alias("own"))  # of one document
     asked = asked.select("d", "th", F.col("own.key").alias("keys"), F.col("own.lo").alias("los"), F.col("own.c").alias("cs"))
     texts = long_.select("d", "th", "text").join(asked, ["d", "th"])
-    kinds = "key long, d long, th int, lo int, c int, bytes binary"
+    kinds = "key long, d long, th long, lo int, c int, bytes binary"
     going = texts.mapInPandas(_entries(size), kinds).repartition(parts, "key").sortWithinPartitions("key")
-    found = written(going.mapInPandas(_suffixes(size), "d long, th int, lo int, c int"), "suffixes")
+    found = written(going.mapInPandas(_suffixes(size), "d long, th long, lo int, c int"), "suffixes")
     spans = entries.where("c < 0").select("d", "th", "lo", "c").union(found)
     # start and end of a span in one number, which reaches Python as a plain array
     both = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(-F.col("c").cast("long"))

@@ -401,6 +401,25 @@ def test_remove_repeats(docs, none):
         repeats.remove_repeats(docs, 20)
 
 
+def test_texts_without_ids_are_told_apart(spark):
+    """Two texts of equal 32-bit hash and no id: the one that is there once keeps all its bytes."""
+    some = spark.range(200_000).select(F.concat(F.sha2(F.col("id").cast("string"), 512), F.lpad(F.col("id").cast("string"), 8, "-")).alias("t"))
+    met = some.groupBy(F.hash("t").alias("h")).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").orderBy("h").first()
+    rows = spark.createDataFrame([(1, met.a), (None, met.a), (None, met.b)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(rows).collect())
+    assert got == [(0, 136, 0), (0, 136, 136), (1, 136, 0)]
+
+
+def test_second_hash():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 3, (20_000, 101), np.uint8)
+    rows[5000:10_000] = rows[:5000]
+    rows[10_000] = rows[0]
+    rows[10_000, 100] += 1
+    got = repeats._second_hash(rows)
+    assert (got[:5000] == got[5000:10_000]).all() and len(set(got.tolist())) == len({r.tobytes() for r in rows})
+
+
 def test_repeats_with_frequent_triggers(spark, monkeypatch):
     """Both ways of a phrase give the same: all triggers frequent, or none."""
     rng = np.random.default_rng(6)
