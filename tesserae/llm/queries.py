@@ -18,7 +18,7 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.packing import pack
 
     pieces = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 1)
-    return pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
+    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op2_claimed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +61,10 @@ def op5_character_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *(count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex", "network")),
+        *(count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
         F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "network")), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        count("network").alias("n_network"),
     )
 
 
