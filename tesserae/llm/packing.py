@@ -16,7 +16,7 @@ from tesserae.llm.common import held, small_batches, width, written
 from tesserae.llm.hilbert import hilbert_key
 
 BUCKETS, DIMS, BITS = 256, 4, 12
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 
 #: Words of these characters alone need no Unicode normalisation; others take the tokenizer's own full path.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -70,6 +70,8 @@ class _Words(dict):
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def _ids(self, word: str) -> list[int]:
+        if word.isalpha() and word.isascii() and len(word) <= 100:  # one part, each byte its own letter
+            return [token.id for token in self.model.tokenize(word.lower())]
         special = not self.first.isdisjoint(word) and any(x in word for x in self.special)
         if special or len(word) > 100 or not _PLAIN.fullmatch(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
