@@ -63,7 +63,7 @@ def provenances(refs: DataFrame, chunks: DataFrame, chunk_id: str, demo: str | N
     parts = F.concat_ws(" · ", "title", "source", F.coalesce("date", F.lit(NO_DATE)))
     shown = F.concat(parts, F.when(F.col(demo), DEMO).otherwise("")) if demo else parts
     known = chunks.select(F.col(chunk_id), shown.alias("_shown"))
-    return refs.join(known, chunk_id, "left").withColumn("shown", F.coalesce("_shown", chunk_id)).drop("_shown")
+    return refs.join(known, chunk_id, "left").withColumn("shown", F.coalesce("_shown", F.col(chunk_id).cast("string"))).drop("_shown")
 
 
 def fixed(x: Column, digits: int = 4) -> Column:
