@@ -55,10 +55,15 @@ def repeats_within(chunks: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def preflight(docs: DataFrame, chunks: DataFrame, id_col: str, text: str, chunk: str, sha: str) -> DataFrame:
-    """One row of checks: documents, distinct ids, good hashes, chunks, and chunks that are no substring."""
+    """One row of checks: documents, distinct ids, good hashes, chunks, and chunks that are no substring.
+
+    Chunks of a document meet its text as one array, so a text is shuffled once and not once for each of its chunks.
+    """
     a = docs.agg(F.count("*").alias("documents"), F.countDistinct(id_col).alias("distinct_ids"), F.count_if(F.sha2(F.col(text), 256) == F.col(sha)).alias("verified"))
-    joined = chunks.select(id_col, chunk).join(docs.select(id_col, text), id_col)
-    b = joined.agg(F.count("*").alias("chunks"), F.count_if(~F.contains(F.col(text), F.col(chunk))).alias("not_substring"))
+    pieces = chunks.groupBy(id_col).agg(F.count("*").alias("_n"), F.collect_list(chunk).alias("_c"))  # no longer than the text they are of
+    lost = F.size(F.filter("_c", lambda c: ~F.contains(F.col(text), c)))
+    joined = pieces.join(docs.select(id_col, text), id_col).select("_n", F.when(F.col(text).isNotNull(), lost).otherwise(0).alias("_lost"))
+    b = joined.agg(F.coalesce(F.sum("_n"), F.lit(0).cast("long")).alias("chunks"), F.coalesce(F.sum("_lost"), F.lit(0)).cast("long").alias("not_substring"))
     return a.join(b, how="cross")  # one row with one row
 
 

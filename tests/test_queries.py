@@ -52,6 +52,8 @@ def test_plans_prune_and_keep_few(spark):
     assert "text" not in plan  # only the columns that are used are read
     plan = QUERIES["vector_topk"](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+    plan = QUERIES["retrieval_many"](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # before the shuffle and after
     plan = QUERIES["vector_group_cap"](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 

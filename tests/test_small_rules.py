@@ -98,3 +98,20 @@ def test_a_client_reranks(spark):
     ranked = retrieval.apply_rerank(candidates, results.drop("s"), "chunk_id").orderBy("rank").collect()
     assert [(r.chunk_id, r.relevance, r.profile_ids) for r in ranked] == [("c2", "strong", ["p1"]), ("c0", "irrelevant", []), ("c1", "weak", [])]
     assert ranked[2].reason == retrieval.FALLBACK
+
+
+def test_preflight_counts_chunks_that_are_not_in_their_text(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, None, "x"), (3, "é", "x")], "id long, text string, sha string")
+    docs = docs.withColumn("sha", F.when(F.col("id") == 1, F.sha2("text", 256)).otherwise(F.col("sha")))
+    rows = [(1, "a"), (1, "b c"), (1, "bc"), (1, "bc"), (1, None), (2, "a"), (3, "e"), (4, "gone"), (None, "a")]
+    chunks = spark.createDataFrame(rows, "id long, chunk string")
+    got = corpus.preflight(docs, chunks, "id", "text", "chunk", "sha").first()
+    assert tuple(got) == (3, 3, 1, 7, 3)
+    assert tuple(corpus.preflight(docs, chunks.limit(0), "id", "text", "chunk", "sha").first()) == (3, 3, 1, 0, 0)
+
+
+def test_provenance_of_numeric_ids(spark):
+    refs = spark.createDataFrame([(1,), (2,), (None,)], "id long")
+    known = spark.createDataFrame([(1, "t", "s", None, True)], "id long, title string, source string, date string, demo boolean")
+    got = {r.id: r.shown for r in reviews.provenances(refs, known, "id", "demo").collect()}
+    assert got == {1: "t · s · 日期待考（演示占位文本）", 2: "2", None: None}
