@@ -264,6 +264,46 @@ def test_secret_network_with_rare_findings(spark):
     assert secrets.candidates("a correcthorsebattery b") == [(2, 21)]
 
 
+def test_secret_network_finds_what_no_base_pattern_does(spark):
+    """Trained on values of the base patterns among ordinary tokens; scored on values of other kinds, and on clean tokens."""
+    rng = np.random.default_rng(12)
+    some = lambda letters, n: "".join(rng.choice(list(letters), n))
+    words = [some("abcdefghijklmnopqrstuvwxyz", int(n)) for n in rng.integers(3, 11, 400)]
+    prose = lambda n: " ".join(str(w) for w in rng.choice(words, n))
+    rows = [(k, f"{prose(12)} see http://{prose(1)}.example.com/{prose(1)}/{k} or {prose(1)}.{prose(1)}@mail.example.com on 2024-01-{k % 28 + 1:02d}T00:00 {prose(9)}") for k in range(1500)]
+    rows += [(5000 + k, f"{prose(6)} password = {some('abcdefXYZ0123456789', 14)} {prose(5)} {some('0123456789abcdef', 32)} {prose(4)}") for k in range(250)]
+    net = secrets.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    full = secrets.LOWER + secrets.UPPER + secrets.DIGITS
+    kinds = {
+        "ghp": lambda: "ghp_" + some(full, 36), "sk": lambda: "sk-" + some(full, 48), "base64": lambda: some(full + "+/", 40),
+        "HEX": lambda: some("0123456789ABCDEF", 32), "hex23": lambda: some("0123456789abcdef", 23), "akia": lambda: "AKIA" + some(secrets.UPPER + secrets.DIGITS, 15),
+    }
+    for name, make in kinds.items():
+        held = spark.createDataFrame([(k, f"{prose(5)} {make()} {prose(5)}") for k in range(200)], "doc_id long, text string")
+        found = [[s for s in r.spans if s.kind == "network"] for r in secrets.scan(held, net).collect()]
+        assert sum(map(bool, found)) >= 180, name
+    clean = [(k, f"{prose(5)} {prose(1)}_{prose(1)}_{prose(1)} {prose(1).title()}{prose(1).title()} http://{prose(1)}.example.com/{prose(1)}/{k} {prose(1)}.{prose(1)}@mail.example.com") for k in range(400)]
+    got = secrets.scan(spark.createDataFrame(clean, "doc_id long, text string"), net).collect()
+    assert sum(bool(r.spans) for r in got) <= 8
+
+
+def test_secret_scan_takes_the_place_of_a_column(spark):
+    df = spark.createDataFrame([(1, "token=abcdef", "x"), (1, "token=abcdef", "y"), (None, None, None), (2, "", "z")], "doc_id long, text string, Spans string")
+    out = secrets.scan(df, None, keep=("doc_id", "Spans", "text"))
+    assert out.columns == ["doc_id", "text", "spans"]
+    assert [len(r.spans) for r in out.collect()] == [1, 1, 0, 0]
+
+
+def test_tokens_apart_from_base_matches():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        marks = np.sort(rng.choice(120, 16, replace=False))
+        tokens = [(int(a), int(b)) for a, b in zip(marks[::2], marks[1::2], strict=True)]
+        starts = np.sort(rng.integers(0, 120, 5))
+        base = [(int(a), int(a + rng.integers(1, 30)), "hex", 0, 0) for a in starts]
+        assert secrets._apart(tokens, base) == [not any(lo < s[1] and s[0] < hi for s in base) for lo, hi in tokens]
+
+
 def test_redacted_overlaps(spark):
     spans = "array<struct<kind: string, start: long, end: long>>"
     rows = [("ab token=0123 xy", [("a", 3, 13), ("b", 9, 13)]), ("plain", []), ("0123", [("a", 0, 4)]), ("é😀abcd", [("a", 2, 4)])]
