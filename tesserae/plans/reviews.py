@@ -17,7 +17,7 @@ _LABELS = {"view": "seen", "click": "opened", "purchase": "bought"}
 def retrieval_many(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    hits = retrieval.top_k_each(rows.select("vec_id", "embedding"), "embedding", asked, "query_id", "q", "vec_id", 10).drop("embedding")
+    hits = retrieval.top_k_each(rows.select("vec_id", "embedding"), "embedding", asked, "query_id", "q", "vec_id", 10)
     found = retrieval.chunks_of_hits(hits, rows.select("vec_id", "label"), "vec_id")
     return found.select("query_id", "vec_id", "label", F.round("score", 6).alias("score"), "pos")
 

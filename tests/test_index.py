@@ -1,12 +1,14 @@
 """The chunk index through changes, failed clients and killed writes."""
 
+import math
 import os
 import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import index
+from tesserae.operators import index, retrieval
 
 
 def table(spark, rows):
@@ -114,3 +116,23 @@ def test_a_call_ends():
         raise ValueError("no such model")
 
     assert index.called(refused, ["a"], 5, 1.0, None, waits.append)[1] == "ValueError: no such model" and not waits
+
+
+def test_top_k_each_in_passes(spark):
+    """More queries than one pass takes, against the cosine of every pair; copies, zeros, nulls, NaN and two lengths."""
+    rng = np.random.default_rng(3)
+    vectors = [rng.standard_normal(8 if k % 5 else 6).tolist() for k in range(60)]
+    vectors += [vectors[1]] * 15 + [[0.0] * 8, None, [], [1.0, None] + [0.0] * 6, [float("nan")] * 8, [1e200] * 8, [1e-200] * 8]
+    rows = spark.createDataFrame([(k * 7 % 83, str(k), v) for k, v in enumerate(vectors)], "id long, name string, v array<double>").repartition(3)
+    asked = rows.where("id % 4 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    got = retrieval.top_k_each(rows, "v", asked, "query", "q", "id", 5, most=4)
+    assert got.columns == ["query", "id", "name", "score", "pos"]
+    pairs = asked.crossJoin(rows).select("query", "id", "name", retrieval.cosine(F.col("v"), F.col("q")).alias("score")).collect()
+    key = lambda s: float("-inf") if math.isnan(s) else -round(s, 9)
+    want = set()
+    for q in {r.query for r in pairs}:
+        best = sorted((r for r in pairs if r.query == q), key=lambda r: (key(r.score), r.id))[:5]
+        want |= {(q, r.id, r.name, repr(r.score), k) for k, r in enumerate(best)}
+    out = {(r.query, r.id, r.name, repr(r.score), r.pos) for r in got.collect()}
+    assert sorted(out - want) == sorted(want - out)
+    assert retrieval.top_k_each(rows, "v", asked.where("false"), "query", "q", "id").count() == 0
