@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.functions.batches import small_batches
 from tesserae.operators.fragments import sharing
 
 #: Characters of all different values up to which they are one automaton in every worker; beyond, see ``named_items``.
@@ -88,12 +89,13 @@ def named_items(chunks: DataFrame, items: DataFrame, text: str = "text", value:
 
     A chunk names an item whose value stands in its text or, with ``keywords``, whose value holds one of its keywords
     or is held by one. The values go to every worker as one automaton, which reads each text once, whatever the number
-    of values; texts are not shuffled. Where the different values have more than MOST_CHARACTERS characters, texts and
+    of values; texts are not shuffled, and a worker holds 2 MB of them at once. Where the different values have more than MOST_CHARACTERS characters, texts and
     values meet in an equi-join on blocks instead, and keywords, which are short, likewise in both directions.
 
     An empty value stands in every text that is not null, an empty keyword in every value; null texts, values and
     keywords match nothing. Repeated rows of either side give repeated pairs. Column names of the sides must differ.
     """
+    small_batches(chunks.sparkSession)
     own = items.where(F.col(value).isNotNull())
     size, rows = own.select(value).distinct().agg(F.coalesce(F.sum(F.length(value)), F.lit(0)), F.count("*")).first()
     words = F.col(keywords) if keywords else F.lit(None).cast("array<string>")

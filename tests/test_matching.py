@@ -114,3 +114,22 @@ def test_columns_named_twice(spark):
     chunks = spark.createDataFrame([(1, "a b", 5)], "id int, body string, n int")
     got = matching.named_items(chunks, spark.createDataFrame([("i", "b")], "item string, v string"), "body", "v").select("id", "n", "item", F.col("v"))
     assert [tuple(r) for r in got.collect()] == [(1, 5, "i", "b")]
+
+
+def test_named_items_reads_few_texts_at_once(spark):
+    """A worker gets texts by their size, not 10,000 of any length."""
+    import pandas as pd
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        texts = spark.range(200, numPartitions=1).select("id", F.repeat(F.lit("ab "), 20_000).alias("text"))
+        got = matching.named_items(texts, spark.createDataFrame([("i", "b a")], "item string, value string"))
+        assert got.count() == 200
+        rows = F.pandas_udf(lambda t: pd.Series([len(t)] * len(t)), "int").asNondeterministic()
+        assert texts.select(rows("text").alias("n")).agg(F.max("n")).first()[0] < 100  # 60 KB each
+    finally:
+        spark.conf.unset(name)
+        if before is not None:
+            spark.conf.set(name, before)
