@@ -16,7 +16,7 @@ from tesserae.llm.shingles import mixed, shingle_sets, wide_sets
 PLACES = 22  # bits of a counter's number in the frequency table, whatever the size of the corpus
 BUCKETS = 1 << PLACES
 SEGMENTS = 64
-NARROW, WIDEST = 1024, 1 << 16  # bits of a bitmap in a tree, the least of a set's own, and the most
+NARROW, WIDEST = 4096, 1 << 16  # bits of a bitmap in a tree, the least of a set's own, and the most
 STARS = 4
 BLOCK = 512
 FAN = 8

@@ -504,3 +504,17 @@ def test_shingles_of_very_long_texts():
         w = text.split()
         assert len(own) == len({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
         assert (wide[0] == own).all() and len(np.unique(wide[1])) == len(own)
+
+
+def test_trees_drop_pairs_that_are_near_but_do_not_link():
+    """Sets of a usual size whose likeness is 0.72: the bitmaps of the trees leave few pairs of them."""
+    rng = np.random.default_rng(5)
+    core = rng.integers(0, 1 << 63, 377, np.uint64)
+    sets = [np.unique(np.r_[core, rng.integers(0, 1 << 63, 73, np.uint64)]) for _ in range(40)]
+    twin = np.r_[sets[0][:-5], rng.integers(0, 1 << 63, 5, np.uint64)]
+    sets.append(np.unique(twin))
+    bits = np.stack([ngram_join._folded([ngram_join.bitmap(s, ngram_join.width_of(len(s))).tobytes()], ngram_join.NARROW // 8)[0] for s in sets])
+    n = np.array(list(map(len, sets)))
+    a, b = ngram_join.joined(ngram_join.Tree(n, bits, np.arange(len(n))), None, (80, 100))
+    pairs = {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)}
+    assert (0, 40) in pairs and len(pairs) < 80  # of 820
