@@ -60,10 +60,10 @@ class _Words(dict):
     the tokenizer has them. A full cache becomes the older one, from which words that come again return.
     """
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.older = Tokenizer.from_file(path), dtype, {}
+        self.tokenizer, self.dtype, self.most, self.older = Tokenizer.from_file(path), dtype, most, {}
         self.by_piece = _drops_blanks(self.tokenizer)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.first = {x[0] for x in self.special}
@@ -82,7 +82,7 @@ class _Words(dict):
         ids = self.older.pop(word, None)
         if ids is None:
             ids = np.array(self._ids(word), self.dtype).tobytes()
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         if len(word) < 200:
@@ -96,8 +96,8 @@ class _Words(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
-def _words(path: str, dtype: str) -> _Words:
-    return held(("words", path, dtype), lambda: _Words(path, dtype))
+def _words(path: str, dtype: str, most: int) -> _Words:
+    return held(("words", path, dtype, most), lambda: _Words(path, dtype, most))
 
 
 def _curve_keys(vectors: np.ndarray) -> np.ndarray:
@@ -108,10 +108,10 @@ def _curve_keys(vectors: np.ndarray) -> np.ndarray:
     return hilbert_key(cells, BITS)
 
 
-def _tokenise(path: str, dtype: str, end_id: int):
+def _tokenise(path: str, dtype: str, end_id: int, cached: int):
     @F.pandas_udf("struct<n: long, key: long, ids: binary>")
     def tokenise(texts: pd.Series) -> pd.DataFrame:
-        words, end = _words(path, dtype), np.array([end_id], dtype).tobytes()
+        words, end = _words(path, dtype, cached), np.array([end_id], dtype).tobytes()
         ids, counts = [], np.zeros((len(texts), BUCKETS))
         for k, text in enumerate(texts):
             own = words.of(text or "") + end
@@ -153,7 +153,7 @@ def _cut(dtype: str, length: int):
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED_WORDS
 ) -> DataFrame:
     """Pack every document into sequences of ``seq_len`` tokens.
 
@@ -167,7 +167,8 @@ def pack(
     stay null. An empty table gives no rows. Other columns are not read.
 
     Tokens are written once and shuffled once; places come from a sorted table of a few numbers a document, and
-    the driver receives one total for each partition.
+    the driver receives one total for each partition. A worker remembers the ids of up to twice ``cached`` words, about
+    160 bytes each; the result does not depend on it.
     """
     from tokenizers import Tokenizer
 
@@ -175,7 +176,7 @@ def pack(
     small_batches(spark)
     dtype = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = _tokenise(tokenizer_path, dtype, end_id)("text").alias("_own")
+    own = _tokenise(tokenizer_path, dtype, end_id, cached)("text").alias("_own")
     tokens = rows.select("doc_id", own).select("doc_id", "_own.n", "_own.key", "_own.ids")
     tokens = written(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
     light = tokens.select("uid", "key", "n").repartitionByRange(width(spark), "key", "uid").sortWithinPartitions("key", "uid")

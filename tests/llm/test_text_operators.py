@@ -518,3 +518,11 @@ def test_trees_drop_pairs_that_are_near_but_do_not_link():
     a, b = ngram_join.joined(ngram_join.Tree(n, bits, np.arange(len(n))), None, (80, 100))
     pairs = {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)}
     assert (0, 40) in pairs and len(pairs) < 80  # of 820
+
+
+def test_packing_remembers_few_words(docs):
+    words = packing._Words(TOKENS, "<u2", 50)
+    text = " ".join(f"w{k % 700}x" for k in range(2000))
+    assert words.of(text) == packing._Words(TOKENS, "<u2").of(text) and len(words) <= 50 and len(words.older) <= 50
+    few, many = (Counter(map(str, packing.pack(docs, TOKENS, 64, 1, **x).collect())) for x in ({"cached": 20}, {}))
+    assert few == many
