@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import held, small_batches, written
+from tesserae.llm.common import held, small_batches, small_table, written
 
 SIZE = 128
 GRAIN = 1 << 24  # steps a unit when vectors are added up
@@ -119,7 +119,7 @@ def _topics(centres: np.ndarray):
     def topics(vectors: pd.Series) -> pd.Series:
         return pd.Series(_scores(_stacked(vectors), centres).argmax(axis=1).astype(str))
 
-    return topics
+    return topics.asNondeterministic()  # evaluated once, not again for the join
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray], share: float, rounds: int = 500) -> np.ndarray:
@@ -200,7 +200,7 @@ def mix(
         (s, lang, t, float(p[i, j, k]))
         for i, s in enumerate(axes[0]) for j, lang in enumerate(axes[1]) for k, t in enumerate(axes[2])
     ]
-    chance = docs.sparkSession.createDataFrame(chances, "source_group string, lang_group string, topic string, probability double")
+    chance = small_table(docs.sparkSession, chances, "source_group string, lang_group string, topic string, probability double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     out = labelled.join(F.broadcast(chance), groups).withColumn("kept", draw < F.col("probability"))
     return out.select(*(F.col(k).alias(c) for k, c in kept.items()), *groups, "tokens", "probability", "kept")

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import held, small_batches, width, written
+from tesserae.llm.common import held, small_batches, small_table, width, written
 from tesserae.llm.hilbert import hilbert_key
 
 BUCKETS, DIMS, BITS = 256, 4, 12
@@ -186,7 +186,7 @@ def pack(
     for part in sorted(totals):
         base.append((part, before))
         before += totals[part]
-    bases = spark.createDataFrame(base, "part int, base long")
+    bases = small_table(spark, base, "part int, base long")
     placed = places.join(F.broadcast(bases), "part").select("uid", (F.col("base") + F.col("at")).alias("place"))
     whole = tokens.select("uid", "doc_id", "n", "ids").join(placed.hint("merge"), "uid")
     pieces = whole.select("doc_id", F.col("n").alias("doc_tokens"), F.explode(_cut(dtype, seq_len)("ids", "place")).alias("_own"))

@@ -526,3 +526,11 @@ def test_packing_remembers_few_words(docs):
     assert words.of(text) == packing._Words(TOKENS, "<u2").of(text) and len(words) <= 50 and len(words.older) <= 50
     few, many = (Counter(map(str, packing.pack(docs, TOKENS, 64, 1, **x).collect())) for x in ({"cached": 20}, {}))
     assert few == many
+
+
+def test_few_python_workers(docs):
+    """No operator runs twice in a task, and small tables come without Python: workers beyond one for each task would stay."""
+    mixed, packed = (x._jdf.queryExecution().executedPlan().toString() for x in (mixing.mix(docs), packing.pack(docs, TOKENS, 64, 1)))
+    for plan in (mixed, packed):
+        assert plan.count("ArrowEvalPython [") == 1
+        assert "ExistingRDD" not in plan
