@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +42,50 @@ _STEPS = {
 }
 
 
+#: White space of one byte, and a byte that no UTF-8 text holds, which ends a document.
+_BLANK, _END = b"\t\n\v\f\r ", b"\xff"
+
+
+def _edges() -> np.ndarray:
+    """Whether a text may be cut between two bytes, by 256 times the first and the second.
+
+    Beside white space and the end that is where both are ASCII and ``_STEPS`` splits whatever stands around them:
+    between letters, digits and other signs, and between digits. Contractions keep their apostrophe, and bytes of other
+    characters, which may be marks, stay with their neighbours.
+    """
+    kind = np.full(256, 4, np.uint8)
+    for k, own in enumerate((range(33, 127), map(ord, "0123456789"), [*range(65, 91), *range(97, 123)])):
+        kind[list(own)] = k
+    kind[ord("'")] = 4
+    one, two = kind[:, None], kind[None, :]
+    edges = (one < 3) & (two < 3) & ((one != two) | (one == 1))
+    alone = np.isin(np.arange(256), list(_BLANK + _END))
+    return (edges | alone[:, None] | alone[None, :]).ravel()
+
+
+_EDGES, _KEPT = _edges(), ~np.isin(np.arange(256), list(_BLANK))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def _cut_up(texts: pa.Array) -> pa.Array:
+    """Pieces of all texts, each of which the tokenizer encodes on its own, and ``_END`` after those of each text.
+
+    Capital ASCII letters become small ones, as in the tokenizer, but where a mark may follow: a capital can lack the
+    composed letter that the small one has.
+    """
+    ended = pc.binary_join_element_wise(texts.cast(pa.large_binary()), pa.scalar(_END, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+    at = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
+    flat = np.frombuffer(ended.buffers()[2], np.uint8)[at[0] : at[-1]]
+    edges = np.append(True, _EDGES[flat[:-1].astype(np.uint16) << 8 | flat[1:]])[: len(flat)]
+    kept = _KEPT[flat]
+    flat, edges = flat[kept], edges[kept]
+    lower = _LOWER[flat]
+    marks = np.flatnonzero(flat[1:] >= 0xCC)  # U+0300, the first of the marks, and all beyond
+    lower[marks] = flat[marks]
+    starts = np.append(np.flatnonzero(edges), len(flat))
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(lower)])
+
+
 def _drops_blanks(tokenizer) -> bool:
     """Whether the tokenizer prepares text as ``_STEPS`` says, so that it never joins across a blank."""
     before, cuts = (json.loads(x.__getstate__()) if x else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
@@ -53,11 +100,11 @@ def _drops_blanks(tokenizer) -> bool:
 
 
 class _Words(dict):
-    """Token ids of each blank-separated piece of text, as little-endian bytes.
+    """Token ids of each piece of text, as little-endian bytes.
 
     Where the tokenizer drops white space and never joins across a blank, a text's ids are those of its pieces;
-    with any other tokenizer every text is encoded whole. Special tokens that stand in a text keep their ids, as
-    the tokenizer has them. A full cache becomes the older one, from which words that come again return.
+    with any other tokenizer every text is encoded whole. Texts with special tokens, which keep their ids, are cut at
+    blanks alone. A full cache becomes the older one, from which words that come again return.
     """
 
     def __init__(self, path: str, dtype: str, most: int = CACHED_WORDS):
@@ -70,18 +117,23 @@ class _Words(dict):
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def _ids(self, word: str) -> list[int]:
-        if word.isalpha() and word.isascii() and len(word) <= 100:  # one part, each byte its own letter
-            return [token.id for token in self.model.tokenize(word.lower())]
+        if len(word) <= 100 and word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):  # one part
+            own = word.lower()
+            own = own if own.isascii() else own.encode().decode("latin-1").translate(self.letters)  # ASCII letters are their own
+            return [token.id for token in self.model.tokenize(own)]
         special = not self.first.isdisjoint(word) and any(x in word for x in self.special)
         if special or len(word) > 100 or not _PLAIN.fullmatch(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         parts = (x.encode().decode("latin-1").translate(self.letters) for x in _PARTS.findall(word.lower()))
         return [token.id for x in parts for token in self.model.tokenize(x)]
 
-    def __missing__(self, word: str) -> bytes:
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
+
+    def __missing__(self, word: str | bytes) -> bytes:
         ids = self.older.pop(word, None)
         if ids is None:
-            ids = np.array(self._ids(word), self.dtype).tobytes()
+            ids = self._bytes(self._ids(word if isinstance(word, str) else word.decode()))
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
@@ -91,10 +143,37 @@ class _Words(dict):
 
     def of(self, text: str) -> bytes:
         """Ids of a whole text."""
+        return self.batch(pa.array([text]), [])[0].tobytes()
+
+    def _alone(self, text: str) -> bytes:
         if self.by_piece:
             return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def batch(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another and with ``end`` after each, and how many each has.
+
+        A piece that comes again in the batch is looked up once.
+        """
+        texts.validate(full=True)  # fails where a text is no UTF-8
+        alone = np.ones(len(texts), bool)
+        if self.by_piece:
+            special = "|".join(map(re.escape, self.special))
+            alone = pc.match_substring_regex(texts, special).to_numpy(zero_copy_only=False) if special else ~alone
+        rows = np.flatnonzero(alone)
+        found = _cut_up(pc.if_else(pa.array(alone), "", texts)).dictionary_encode()
+        codes, words = found.indices.to_numpy().copy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ends = np.flatnonzero(codes == words.index(_END)) if words else codes
+        end = self._bytes(end)
+        ids = [end if word == _END else self[word] for word in words]
+        ids += [self._alone(texts[k].as_py()) + end for k in rows.tolist()]
+        codes[ends[rows]] = np.arange(len(words), len(ids))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.dtype).itemsize
+        n, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        upto = np.cumsum(n)
+        place = np.arange(n.sum()) + np.repeat(starts - (upto - n), n)
+        return np.frombuffer(b"".join(ids), self.dtype)[place], np.diff(upto[ends], prepend=0)
+
 
 def _words(path: str, dtype: str, most: int) -> _Words:
     return held(("words", path, dtype, most), lambda: _Words(path, dtype, most))
@@ -109,17 +188,15 @@ def _curve_keys(vectors: np.ndarray) -> np.ndarray:
 
 
 def _tokenise(path: str, dtype: str, end_id: int, cached: int):
-    @F.pandas_udf("struct<n: long, key: long, ids: binary>")
-    def tokenise(texts: pd.Series) -> pd.DataFrame:
-        words, end = _words(path, dtype, cached), np.array([end_id], dtype).tobytes()
-        ids, counts = [], np.zeros((len(texts), BUCKETS))
-        for k, text in enumerate(texts):
-            own = words.of(text or "") + end
-            ids.append(own)
-            spread = np.frombuffer(own, dtype).astype(np.uint32) * np.uint32(2654435761) >> np.uint32(24)
-            counts[k] = np.bincount(spread, minlength=BUCKETS)
-        size = np.dtype(dtype).itemsize
-        return pd.DataFrame({"n": [len(x) // size for x in ids], "key": _curve_keys(counts), "ids": ids})
+    @F.arrow_udf("struct<n: long, key: long, ids: binary>")
+    def tokenise(texts: pa.Array) -> pa.Array:
+        ids, n = _words(path, dtype, cached).batch(texts.fill_null(""), [end_id])
+        spread = (ids.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(24)).astype(np.int64)
+        spread += np.repeat(np.arange(len(n)) * BUCKETS, n)
+        counts = np.bincount(spread, minlength=len(n) * BUCKETS).reshape(-1, BUCKETS)
+        cuts = pa.array(np.append(0, np.cumsum(n) * np.dtype(dtype).itemsize), pa.int32())  # fails beyond 2 GB, as a row would
+        own = pa.Array.from_buffers(pa.binary(), len(n), [None, cuts.buffers()[1], pa.py_buffer(ids)])
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(_curve_keys(counts)), own], ["n", "key", "ids"])
 
     return tokenise.asNondeterministic()  # evaluated once
 

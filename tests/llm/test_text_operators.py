@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -534,3 +535,34 @@ def test_few_python_workers(docs):
     for plan in (mixed, packed):
         assert plan.count("ArrowEvalPython [") == 1
         assert "ExistingRDD" not in plan
+
+
+def test_packing_merges_a_word_once():
+    """Neither case nor the signs and digits beside a word make it another one."""
+    words = packing._Words(TOKENS, "<u2")
+    text = " ".join(f"{a}{w}{b}" for w in ("word", "Word", "WORD") for a in ("", "(", "12") for b in ("", ".", ",", "...", "7"))
+    assert np.frombuffer(words.of(text), "<u2").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(words) < 12  # 45 pieces between blanks
+
+
+def test_packing_cuts_as_the_tokenizer():
+    """Texts of signs that compose, contract, are special, or are white in one alphabet only, among words."""
+    rng = np.random.default_rng(5)
+    signs = [*"aHhSsTtlLd", "\u00e9", "\u00c9 ", *" \u00d7\u00aa'''  ..=<>|-19\t\n\r\v\f\0\x1c\x85\xa0", "\u0331", "\u0338", "\u0301", "\u00bb", "\u2026", "\u2019"]
+    signs += ["\u4e2d", "\u03a3", "\u0130", "\u212a", "\u00b2", "\u0663", "\u2003", "\U0001f600", "'ll", "'RE", "<|endoftext|>", "<|ENDOFTEXT|>", "<|"]
+    plain = [x for x in signs if x != "<|endoftext|>"]
+    texts = ["", " ", "h\u0331 H\u0331", "a=\u0338b", "\u00e9.\u00bb", "x.'s 'S"]
+    texts += ["".join(rng.choice(x, n)) for x in (signs, plain) for n in range(1, 60) for _ in range(20)]
+    for path in (TOKENS, TOKENS.replace("word_bpe_49k", "byte_bpe_50k")):
+        words = packing._Words(path, "<u2")
+        want = [[*x.ids, 1] for x in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids, n = words.batch(pa.array(texts), [1])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+        assert [x.size for x in words.batch(pa.array([], "string"), [1])] == [0, 0]
+        assert words.batch(pa.array(texts).slice(3, 2), [])[0].tolist() == want[3][:-1] + want[4][:-1]
+
+
+def test_packing_of_bytes_that_are_no_text(spark):
+    bad = spark.range(1).select(F.col("id").alias("doc_id"), F.unhex(F.lit("61FF62")).cast("string").alias("text"))
+    with pytest.raises(Exception, match="(?i)utf"):
+        packing.pack(bad, TOKENS).collect()
